@@ -44,7 +44,9 @@ def _colons(text: Column) -> Column:
 def _with_parsed(df: DataFrame, text: Column) -> DataFrame:
     """Add ``_fam, _hi, _lo`` for an address text, all NULL when it is no address.
 
-    The steps are separate projections, so that Catalyst evaluates each intermediate once.
+    The steps are separate projections, so each intermediate is evaluated once.  The result passes through a
+    one-element explode: a filter or inferred join condition on it stays above the parse, while without it Catalyst
+    would copy the whole parse into every pushed predicate.
     """
     six = F.instr("_text", ":") > 0
     groups_of = lambda c: F.when(F.col(c) == "", 0).otherwise(_colons(F.col(c)) + 1)
@@ -86,12 +88,12 @@ def _with_parsed(df: DataFrame, text: Column) -> DataFrame:
         .withColumn("_groups", F.when(F.col("_plain").rlike(IPV6_GROUPS), F.split("_plain", ":")))
         .withColumn("_hex", F.concat(*[F.lpad(F.get("_groups", F.lit(i)), 4, "0") for i in range(8)]))
     )
-    return staged.select(
-        *df.columns,
+    parsed = F.struct(
         F.when(six & F.col("_hex").isNotNull(), 6).when(~six & F.col("_v4").isNotNull(), 4).alias("_fam"),
         F.when(six, half(1)).otherwise(F.col("_v4")).alias("_hi"),
         F.when(six, half(17)).when(F.col("_v4").isNotNull(), F.lit(0).cast("bigint")).alias("_lo"),
     )
+    return staged.select(*df.columns, F.explode(F.array(parsed)).alias("_addr")).select(*df.columns, "_addr.*")
 
 
 def _shifted_ones(bits: Column, plen: Column) -> Column:
@@ -156,15 +158,20 @@ def _ipv4_text(value: Column) -> Column:
     return F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))
 
 
+def _squeeze_zeros(eight: Column) -> Column:
+    """The longest run of two or more zero groups, leftmost on ties, becomes ``::``."""
+    text = None
+    for run in range(8, 1, -1):
+        pattern = "^(?:(.*?):)??0" + ":0" * (run - 1) + "(?::(.*))?$"
+        squeezed = F.regexp_replace(eight, pattern, "$1::$2")
+        text = F.when(eight.rlike(pattern), squeezed) if text is None else text.when(eight.rlike(pattern), squeezed)
+    return text.otherwise(eight)
+
+
 def with_canonical_text(df: DataFrame, out: str = "prefix") -> DataFrame:
     """Add the canonical text of the masked network ``family, net_hi, net_lo, plen``."""
     group = lambda half, shift: F.lower(F.hex(F.shiftrightunsigned(half, shift).bitwiseAND(65535)))
     eight = F.concat_ws(":", *[group(half, s) for half in ("net_hi", "net_lo") for s in (48, 32, 16, 0)])
-    staged = df.withColumn("_full", F.when(F.col("family") == 6, eight))
-    # The longest run of two or more zero groups, leftmost on ties, becomes "::".
-    text = F.when(F.col("family") == 4, _ipv4_text(F.col("net_hi")))
-    for run in range(8, 1, -1):
-        pattern = "^(?:(.*?):)??0" + ":0" * (run - 1) + "(?::(.*))?$"
-        text = text.when(F.col("_full").rlike(pattern), F.regexp_replace("_full", pattern, "$1::$2"))
-    text = text.otherwise(F.col("_full"))
-    return staged.withColumn(out, F.concat(text, F.lit("/"), F.col("plen").cast("string"))).drop("_full")
+    six = F.get(F.transform(F.array(eight), _squeeze_zeros), F.lit(0))
+    text = F.when(F.col("family") == 4, _ipv4_text(F.col("net_hi"))).when(F.col("family") == 6, six)
+    return df.withColumn(out, F.concat(text, F.lit("/"), F.col("plen").cast("string")))
