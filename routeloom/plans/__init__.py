@@ -1,4 +1,4 @@
 """Registered queries, the SQL they are checked against, and the tables they run on."""
 
-from . import routing_queries  # noqa: F401
+from . import heuristic_queries, routing_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
