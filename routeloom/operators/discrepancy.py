@@ -106,20 +106,23 @@ FLAP_COLUMNS = [
 
 
 def analyze_routes(observed: DataFrame, roas: DataFrame, irr: DataFrame, flaps: DataFrame | None = None) -> DataFrame:
-    """Score each distinct ``(prefix, origin_as)`` against authorizations, IRR items and, if given, flap results."""
-    rpki = registry.roa_status(observed, roas)
-    match = registry.irr_match(observed, irr)
-    joined = rpki.withColumn("_o", F.col("origin_as").cast("string")).join(
-        match.select("prefix", F.col("origin_as").cast("string").alias("_o"), "irr_origin_count", "irr_mismatch"),
-        ["prefix", "_o"],
-    ).drop("_o")
+    """Score each distinct ``(prefix, origin_as)`` against authorizations, IRR items and, if given, flap results.
+
+    A column ``history_prefix`` says whose updates count as the history of the route; without it, its own.
+    """
+    history = ["history_prefix"] if "history_prefix" in observed.columns else []
+    routes = observed.select("prefix", F.col("origin_as").cast("string"), *history).distinct()
+    rpki = registry.roa_status(routes, roas)
+    match = registry.irr_match(routes, irr)
+    joined = routes.join(rpki, ["prefix", "origin_as"]).join(match, ["prefix", "origin_as"])
     if flaps is None:
         types = ["boolean", "string", "bigint", "bigint", "string", "double"]
         joined = joined.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(FLAP_COLUMNS, types)])
     else:
-        flaps = flaps.withColumnRenamed("severity", "flap_severity").select("prefix", *FLAP_COLUMNS)
-        joined = joined.join(flaps, "prefix", "left")
-    return score_discrepancies(joined)
+        key = F.col(history[0] if history else "prefix")
+        flaps = flaps.withColumnRenamed("severity", "flap_severity").select(F.col("prefix").alias("_p"), *FLAP_COLUMNS)
+        joined = joined.join(flaps, key == F.col("_p"), "left").drop("_p")
+    return score_discrepancies(joined).withColumn("origin_as", F.col("origin_as").try_cast("bigint"))
 
 
 def incident_observations(incidents: DataFrame) -> DataFrame:

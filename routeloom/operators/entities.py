@@ -28,7 +28,7 @@ HISTORY_WORDS = ["history", "historical"]
 
 
 def _as_set(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 def _words_in(lowered: Column, words: list[str]) -> Column:
@@ -52,7 +52,7 @@ def extract_entities(questions: DataFrame, text: str = "question") -> DataFrame:
     lowered = F.lower(text)
     return (
         questions.withColumn("prefixes", _as_set(prefixes))
-        .withColumn("ip_addresses", F.array_sort(F.array_except(addresses, in_prefixes)))
+        .withColumn("ip_addresses", F.sort_array(F.array_except(addresses, in_prefixes)))
         .withColumn("asns", _as_set(F.regexp_extract_all(text, F.lit(ASN_PATTERN), 1)))
         .withColumn("keywords", _words_in(lowered, KEYWORDS))
         .withColumn("time_references", _words_in(lowered, TIME_WORDS))

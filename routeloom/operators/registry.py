@@ -88,8 +88,8 @@ def irr_origins(items: DataFrame) -> DataFrame:
         _clean_items(items)
         .groupBy("prefix")
         .agg(
-            F.array_sort(F.collect_list(F.when(F.col("kind") == "origin", found))).alias("o"),
-            F.array_sort(F.collect_list(F.when(F.col("kind") == "source", found))).alias("a"),
+            F.sort_array(F.collect_list(F.when(F.col("kind") == "origin", found))).alias("o"),
+            F.sort_array(F.collect_list(F.when(F.col("kind") == "source", found))).alias("a"),
         )
     )
     primary = F.exists("o", lambda x: x["s"] == 0)

@@ -1,4 +1,4 @@
 """Registered queries, the SQL they are checked against, and the tables they run on."""
 
-from . import heuristic_queries, routing_queries, text_queries  # noqa: F401
+from . import document_queries, heuristic_queries, report_queries, routing_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -108,7 +108,7 @@ ROA_SQL = """
            count(*) FILTER (validity = 'valid') AS own_valid FROM ro GROUP BY ALL),
  tot AS (SELECT prefix, count(*) AS n, count(*) FILTER (validity = 'valid') AS n_valid FROM ro GROUP BY prefix),
  rpki AS (
-   SELECT a.prefix, a.origin_as, coalesce(verdict, CASE WHEN coalesce(n_valid, 0) - coalesce(own_valid, 0) > 0 THEN 'invalid' ELSE 'not-found' END) AS rpki_status,
+   SELECT a.*, coalesce(verdict, CASE WHEN coalesce(n_valid, 0) - coalesce(own_valid, 0) > 0 THEN 'invalid' ELSE 'not-found' END) AS rpki_status,
      coalesce(n, 0) AS covering_roas
    FROM asked a LEFT JOIN own ON own.prefix = a.prefix AND own.o = a.origin_as::VARCHAR LEFT JOIN tot ON tot.prefix = a.prefix)"""
 
@@ -136,15 +136,15 @@ SCORE_SQL = """
      r.rpki_status = 'invalid' AS inv
    FROM rpki r LEFT JOIN irr i USING (prefix)),
  parts AS (
-   SELECT f.*, coalesce(flap_detected, false) AS fd, severity AS fs, transition_count AS tc, rapid_transitions AS rt,
+   SELECT f.*, flap_detected AS fnull, coalesce(flap_detected, false) AS fd, severity AS fs, transition_count AS tc, rapid_transitions AS rt,
      pattern_analysis AS pa, window_minutes AS wm, CASE WHEN coalesce(flap_detected, false) THEN severity ELSE 'normal' END AS s0
-   FROM facts f LEFT JOIN {flaps} USING (prefix)),
+   FROM facts f LEFT JOIN {flaps}),
  s1 AS (SELECT *,
      CASE WHEN inv AND s0 IN ('normal','low','medium') THEN 'high' WHEN mis AND s0 IN ('normal','low') THEN 'medium' ELSE s0 END AS o1,
      CASE WHEN inv THEN greatest(s0, 'high') WHEN mis THEN greatest(s0, 'medium') ELSE s0 END AS l1 FROM parts),
  s2 AS (SELECT *, CASE WHEN n_irr > 1 AND o1 = 'normal' THEN 'low' ELSE o1 END AS o2,
      CASE WHEN n_irr > 1 AND l1 = 'normal' THEN 'low' ELSE l1 END AS l2 FROM s1),
- scored AS (SELECT prefix, origin_as, rpki_status, covering_roas, n_irr AS irr_origin_count,
+ scored AS (SELECT {keys}prefix, origin_as, rpki_status, covering_roas, n_irr AS irr_origin_count,
      array_to_string([x FOR x IN [
        CASE WHEN fd THEN CASE WHEN fs = 'high' THEN 'FREQUENT_ROUTE_FLAPPING' ELSE 'ROUTE_FLAPPING' END END,
        CASE WHEN fd AND rt > 0 THEN 'RAPID_STATE_CHANGES' END, CASE WHEN inv AND mis THEN 'POTENTIAL_HIJACK' END,
@@ -166,7 +166,7 @@ SCORE_SQL = """
 
 @register(
     "discrepancies",
-    fx.cte("fx_updates", "fx_roa", "fx_irr") + "," + ",".join([ASKED_UPDATES, FLAP_SQL, ROA_SQL, IRR_SQL, SCORE_SQL.format(flaps="fl")])
+    fx.cte("fx_updates", "fx_roa", "fx_irr") + "," + ",".join([ASKED_UPDATES, FLAP_SQL, ROA_SQL, IRR_SQL, SCORE_SQL.format(flaps="fl USING (prefix)", keys="")])
     + " SELECT * FROM scored",
 )
 def discrepancies(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,11 +186,11 @@ def _scored(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 NO_FLAPS = """(SELECT NULL::VARCHAR AS prefix, NULL::BOOLEAN AS flap_detected, NULL::VARCHAR AS severity, 0 AS transition_count,
-   0 AS rapid_transitions, NULL::VARCHAR AS pattern_analysis, NULL::DOUBLE AS window_minutes) nf"""
+   0 AS rapid_transitions, NULL::VARCHAR AS pattern_analysis, NULL::DOUBLE AS window_minutes) nf USING (prefix)"""
 
 INCIDENT_SQL = (
     fx.cte("fx_incidents", "fx_roa", "fx_irr")
-    + "," + ",".join([ASKED_INCIDENTS, ROA_SQL, IRR_SQL, SCORE_SQL.format(flaps=NO_FLAPS)])
+    + "," + ",".join([ASKED_INCIDENTS, ROA_SQL, IRR_SQL, SCORE_SQL.format(flaps=NO_FLAPS, keys="")])
     + """, det AS (
     SELECT event_id, i.prefix, hijacker_asn AS origin_as, coalesce(confidence, 0) AS confidence, flags, severity, severity_lexical,
       flags LIKE '%POTENTIAL_HIJACK%' OR flags LIKE '%RPKI_INVALID%' OR flags LIKE '%IRR_MISMATCH%' AS detected
