@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .netaddr import _col
 
 DIGITS = "^[0-9]+$"
+# A path of numbers only, each surely a BIGINT.  Nearly all paths are of this form, and one regular expression inside
+# generated code is much cheaper than taking the path apart.
+PLAIN_PATH = r"^\s*[0-9]{1,18}(?:\s+[0-9]{1,18})*\s*$"
 
 
 def path_tokens(path: Column | str) -> Column:
@@ -30,6 +33,16 @@ def path_numbers(path: Column | str) -> Column:
     return F.filter(F.transform(path_tokens(path), _lenient_number), lambda n: n.isNotNull())
 
 
+def has_numbers(path: Column | str) -> Column:
+    """Whether the lenient parse finds a number."""
+    return _col(path).rlike(PLAIN_PATH) | (F.size(path_numbers(path)) > 0)
+
+
+def is_strict(path: Column | str) -> Column:
+    """Whether every token is a number, and there is one."""
+    return _col(path).rlike(PLAIN_PATH) | strict_path_numbers(path).isNotNull()
+
+
 def normalized_path(path: Column | str) -> Column:
     """Numbers joined by blanks; the raw tokens when no number was found; NULL for an empty path."""
     tokens, numbers = path_tokens(path), path_numbers(path)

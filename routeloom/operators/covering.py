@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.netaddr import KEY, mask_hi, mask_lo, max_plen, with_address, with_network
+from ..storage import stored
 
 SALTS = 64
 
@@ -53,6 +54,7 @@ def longest_match(addresses: DataFrame, state: DataFrame, text: str = "ip", how:
     """Most specific route of each address.
 
     Each distinct address is looked up once.  ``how="left"`` keeps addresses without a route or that are no address.
+    ``state`` is read twice (its lengths, its routes) and should be a stored table.
     """
     distinct = with_address(addresses.select(text).distinct(), text)
     probes = network_probes(distinct.withColumn("max_len", max_plen(F.col("family"))), state, [text])
@@ -73,7 +75,7 @@ def validate_origins(routes: DataFrame, vrps: DataFrame) -> DataFrame:
     """
     total = F.lit(-1).cast("bigint")
     networks = with_network(vrps.select("prefix", F.col("max_length").cast("int"), F.col("asn").cast("bigint")))
-    per_asn = (
+    per_asn = stored(
         networks.groupingSets([KEY, [*KEY, "asn"]], *KEY, "asn")
         .agg(F.count("*").alias("n"), F.max("max_length").alias("max_length"), F.grouping("asn").alias("_all"))
         .where("_all = 1 OR asn > 0")
@@ -85,7 +87,7 @@ def validate_origins(routes: DataFrame, vrps: DataFrame) -> DataFrame:
     asked = routes.select("prefix", F.col("origin_as").cast("bigint"), origin.alias("_origin")).distinct()
     keyed = with_network(asked).withColumnsRenamed({"net_hi": "hi", "net_lo": "lo", "plen": "max_len"})
     identity = ["prefix", "origin_as", "_origin"]
-    probes = network_probes(keyed.withColumn("_route_len", F.col("max_len")), networks, identity).withColumn(
+    probes = network_probes(keyed.withColumn("_route_len", F.col("max_len")), per_asn, identity).withColumn(
         "asn", F.explode(F.when(F.col("_origin") > 0, F.array(total, F.col("_origin"))).otherwise(F.array(total)))
     )
     hits = probes.join(salted_networks(per_asn), [*KEY, "asn", "salt"])

@@ -106,23 +106,20 @@ FLAP_COLUMNS = [
 
 
 def analyze_routes(observed: DataFrame, roas: DataFrame, irr: DataFrame, flaps: DataFrame | None = None) -> DataFrame:
-    """Score each distinct ``(prefix, origin_as)`` against authorizations, IRR items and, if given, flap results.
+    """Add RPKI, IRR and, if given, flap results and the score to rows with ``prefix, origin_as``.
 
-    A column ``history_prefix`` says whose updates count as the history of the route; without it, its own.
+    A column ``history_prefix`` says whose updates count as the history of the route; without it, its own.  Every join
+    brings at most one row, so rows keep their number.
     """
-    history = ["history_prefix"] if "history_prefix" in observed.columns else []
-    routes = observed.select("prefix", F.col("origin_as").cast("string"), *history).distinct()
-    rpki = registry.roa_status(routes, roas)
-    match = registry.irr_match(routes, irr)
-    joined = routes.join(rpki, ["prefix", "origin_as"]).join(match, ["prefix", "origin_as"])
+    joined = registry.with_irr_match(registry.with_roa_status(observed, roas), irr)
     if flaps is None:
         types = ["boolean", "string", "bigint", "bigint", "string", "double"]
         joined = joined.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(FLAP_COLUMNS, types)])
     else:
-        key = F.col(history[0] if history else "prefix")
+        key = "history_prefix" if "history_prefix" in observed.columns else "prefix"
         flaps = flaps.withColumnRenamed("severity", "flap_severity").select(F.col("prefix").alias("_p"), *FLAP_COLUMNS)
-        joined = joined.join(flaps, key == F.col("_p"), "left").drop("_p")
-    return score_discrepancies(joined).withColumn("origin_as", F.col("origin_as").try_cast("bigint"))
+        joined = joined.join(flaps, F.col(key) == F.col("_p"), "left").drop("_p")
+    return score_discrepancies(joined)
 
 
 def incident_observations(incidents: DataFrame) -> DataFrame:
@@ -135,10 +132,8 @@ def incident_observations(incidents: DataFrame) -> DataFrame:
 
 def detect_incidents(incidents: DataFrame, roas: DataFrame, irr: DataFrame) -> DataFrame:
     """Incidents with flags and whether one of the hijack flags is among them."""
-    seen = incident_observations(incidents)
-    scored = analyze_routes(seen, roas, irr).select("prefix", "origin_as", "rpki_status", "flags", "severity", "severity_lexical")
-    detected = F.arrays_overlap("flags", F.array(*[F.lit(f) for f in HIJACK_FLAGS]))
-    return seen.join(scored, ["prefix", "origin_as"], "left").withColumn("detected", F.coalesce(detected, F.lit(False)))
+    scored = analyze_routes(incident_observations(incidents), roas, irr)
+    return scored.withColumn("detected", F.arrays_overlap("flags", F.array(*[F.lit(f) for f in HIJACK_FLAGS])))
 
 
 def detection_rate(detections: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 SLOTS = 1 << 18
 BUCKETS_PER_WINDOW = 256
 
@@ -29,7 +31,8 @@ def trailing_window(updates: DataFrame, minutes: float = 5, time: str = "ts") ->
     """Updates no older than ``minutes`` before the latest one of their prefix; adds ``_us`` and ``_total``."""
     width = _micros(minutes * 60)
     rows = updates.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
-    latest = rows.groupBy("prefix").agg(F.max("_us").alias("_latest"), F.count("*").alias("_total"))
+    # one row per prefix, read by both joins below, so that the log is scanned twice and not three times
+    latest = stored(rows.groupBy("prefix").agg(F.max("_us").alias("_latest"), F.count("*").alias("_total")))
     slot = F.pmod(F.xxhash64("prefix"), F.lit(SLOTS)).cast("int")
     floor = latest.groupBy(slot.alias("_slot")).agg(F.min("_latest").alias("_floor"))
     near = (

@@ -30,12 +30,12 @@ def irr_items(answers: DataFrame) -> DataFrame:
     return items("irr_records").unionByName(items("records"))
 
 
-def roa_status(asked: DataFrame, roas: DataFrame) -> DataFrame:
-    """RPKI status of each distinct ``(prefix, origin_as)`` from the authorizations answered for the prefix.
+def with_roa_status(rows: DataFrame, roas: DataFrame) -> DataFrame:
+    """Add ``rpki_status, covering_roas`` to rows with ``prefix, origin_as``, from the authorizations of the prefix.
 
     Authorizations of the asked origin decide, the last one with a verdict winning; failing that, a valid one of
-    another origin makes it invalid.  They are combined per (prefix, origin) and per prefix before the join, so no
-    pairs of asked rows and authorizations arise.
+    another origin makes it invalid.  They are combined per (prefix, origin) and per prefix before the join, so each
+    row meets at most one of either and no pairs arise.
     """
     verdicts = roas.select(
         "prefix",
@@ -44,21 +44,26 @@ def roa_status(asked: DataFrame, roas: DataFrame) -> DataFrame:
         F.when(F.col("validity").isin("invalid", "invalid_asn", "invalid_length"), F.col("pos")).alias("_invalid"),
     )
     own = verdicts.groupBy("prefix", "_origin").agg(
-        F.max("_valid").alias("last_valid"), F.max("_invalid").alias("last_invalid"), F.count("_valid").alias("own_valid")
+        F.max("_valid").alias("_last_valid"), F.max("_invalid").alias("_last_invalid"), F.count("_valid").alias("_own_valid")
+    )
+    every = verdicts.groupBy("prefix").agg(F.count("*").alias("_n"), F.count("_valid").alias("_n_valid"))
+    joined = (
+        rows.withColumn("_origin", paths.asked_asn("origin_as"))
+        .join(own, ["prefix", "_origin"], "left")
+        .join(every, "prefix", "left")
     )
-    every = verdicts.groupBy("prefix").agg(F.count("*").alias("n"), F.count("_valid").alias("n_valid"))
-    distinct = asked.select("prefix", "origin_as").distinct().withColumn("_origin", paths.asked_asn("origin_as"))
-    joined = distinct.join(own, ["prefix", "_origin"], "left").join(every, "prefix", "left")
     never = F.lit(-(2**63)).cast("bigint")
-    valid, invalid = F.coalesce("last_valid", never), F.coalesce("last_invalid", never)
-    others = F.coalesce("n_valid", F.lit(0)) - F.coalesce("own_valid", F.lit(0))
-    return joined.select(
-        "prefix",
-        "origin_as",
-        F.when(valid > invalid, "valid").when(invalid > valid, "invalid").when(others > 0, "invalid")
-        .otherwise("not-found").alias("rpki_status"),
-        F.coalesce("n", F.lit(0)).alias("covering_roas"),
+    valid, invalid = F.coalesce("_last_valid", never), F.coalesce("_last_invalid", never)
+    others = F.coalesce("_n_valid", F.lit(0)) - F.coalesce("_own_valid", F.lit(0))
+    status = (
+        F.when(valid > invalid, "valid").when(invalid > valid, "invalid").when(others > 0, "invalid").otherwise("not-found")
     )
+    return joined.select(*rows.columns, status.alias("rpki_status"), F.coalesce("_n", F.lit(0)).alias("covering_roas"))
+
+
+def roa_status(asked: DataFrame, roas: DataFrame) -> DataFrame:
+    """RPKI status of each distinct ``(prefix, origin_as)``."""
+    return with_roa_status(asked.select("prefix", "origin_as").distinct(), roas)
 
 
 def _clean_items(items: DataFrame) -> DataFrame:
@@ -110,28 +115,30 @@ def irr_origins(items: DataFrame) -> DataFrame:
     )
 
 
-def irr_match(asked: DataFrame, items: DataFrame) -> DataFrame:
-    """Per distinct ``(prefix, origin_as)``: how many origins the registry names, and whether this is one of them.
+def with_irr_match(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Add ``irr_origin_count, irr_mismatch`` to rows with ``prefix, origin_as``: how many origins the registry names for
+    the prefix, and whether they exclude this one.
 
     The membership test is a join on (prefix, origin), never a search through a list per prefix.
     """
     registered = (
         _clean_items(items)
         .where("kind = 'origin'")
-        .groupBy("prefix", "v")
-        .agg(F.max(F.col("section") == "irr_records").alias("primary"), F.max(F.col("section") == "records").alias("fallback"))
+        .groupBy("prefix", F.col("v").alias("_v"))
+        .agg(
+            F.max(F.col("section") == "irr_records").alias("_primary"), F.max(F.col("section") == "records").alias("_fallback")
+        )
     )
     per_prefix = registered.groupBy("prefix").agg(
-        F.count_if("primary").alias("n_primary"), F.count_if("fallback").alias("n_fallback")
+        F.count_if("_primary").alias("_n_primary"), F.count_if("_fallback").alias("_n_fallback")
     )
-    current = asked.select("prefix", "origin_as").distinct().withColumn("v", paths.registry_asn("origin_as"))
-    joined = current.join(registered, ["prefix", "v"], "left").join(per_prefix, "prefix", "left")
-    fallback = F.coalesce("n_primary", F.lit(0)) == 0
-    pick: Column = F.when(fallback, F.col("fallback")).otherwise(F.col("primary"))
-    count = F.coalesce(F.when(fallback, F.col("n_fallback")).otherwise(F.col("n_primary")), F.lit(0))
-    return joined.select(
-        "prefix",
-        "origin_as",
-        count.alias("irr_origin_count"),
-        ((count > 0) & F.col("v").isNotNull() & ~F.coalesce(pick, F.lit(False))).alias("irr_mismatch"),
+    joined = (
+        rows.withColumn("_v", paths.registry_asn("origin_as"))
+        .join(registered, ["prefix", "_v"], "left")
+        .join(per_prefix, "prefix", "left")
     )
+    use_fallback = F.coalesce("_n_primary", F.lit(0)) == 0
+    listed: Column = F.when(use_fallback, F.col("_fallback")).otherwise(F.col("_primary"))
+    count = F.coalesce(F.when(use_fallback, F.col("_n_fallback")).otherwise(F.col("_n_primary")), F.lit(0))
+    mismatch = (count > 0) & F.col("_v").isNotNull() & ~F.coalesce(listed, F.lit(False))
+    return joined.select(*rows.columns, count.alias("irr_origin_count"), mismatch.alias("irr_mismatch"))

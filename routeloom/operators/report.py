@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import covering, discrepancy, entities, registry
 
 NOTHING = "No context data available."
@@ -70,15 +71,14 @@ def validated_questions(
     asked = first_routes(routes).join(history_prefix(classified), "qid")
     scored = discrepancy.analyze_routes(asked, roas, irr, flaps)
     origins = registry.irr_origins(irr).withColumnRenamed("status", "irr_status")
-    results = scored.join(origins, "prefix", "left").withColumn(
-        "irr_status", F.coalesce("irr_status", F.lit("not-found"))
+    none = F.array().cast("array<string>")
+    return scored.join(origins, "prefix", "left").withColumns(
+        {
+            "irr_status": F.coalesce("irr_status", F.lit("not-found")),
+            "irr_origins": F.coalesce("irr_origins", none),
+            "authorities": F.coalesce("authorities", none),
+        }
     )
-    same = (
-        (F.col("a.prefix") == F.col("r.prefix"))
-        & (F.col("a.origin_as") == F.col("r.origin_as"))
-        & F.col("a.history_prefix").eqNullSafe(F.col("r.history_prefix"))
-    )
-    return asked.alias("a").join(results.alias("r"), same).select("a.qid", "r.*")
 
 
 # -- text -----------------------------------------------------------------------------------------------------
@@ -215,8 +215,11 @@ def answer_context(
     documents: DataFrame | None = None,
     text: str = "question",
 ) -> DataFrame:
-    """Questions ``qid, question`` to their context: extract, classify, look up, validate, analyze, render."""
-    classified = entities.classify(entities.extract_entities(questions, text), text)
-    routes = question_routes(classified, state)
+    """Questions ``qid, question`` to their context: extract, classify, look up, validate, analyze, render.
+
+    ``state`` is read three times and should be a stored table.
+    """
+    classified = stored(entities.classify(entities.extract_entities(questions, text), text))
+    routes = stored(question_routes(classified, state))
     validated = validated_questions(classified, routes, roas, irr, flaps)
     return context_report(classified, routes, validated, documents)

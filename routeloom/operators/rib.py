@@ -97,63 +97,63 @@ def _latest(rows: DataFrame, key: list[str], order: list[str], payload: list[str
 
 
 def snapshot(rib: DataFrame, order: list[str] | None = None, per_peer: bool = False) -> DataFrame:
-    """Route per network from table rows with raw paths: the last row in arrival order wins, whatever its peer."""
+    """Route per network from table rows with raw paths: the last row in arrival order wins, whatever its peer.
+
+    Rows carry the raw path; only the winner's is taken apart.
+    """
     extra = ["peer_asn"] if per_peer else []
     order = order or ["seq"]
-    parsed = (
-        rib.where(F.col("prefix").isNotNull() & F.col("as_path").isNotNull())
-        .select("prefix", paths.path_numbers("as_path").alias("_path"), *dict.fromkeys([*order, *extra]))
-        .where(F.size("_path") > 0)
-    )
-    last = _latest(with_network(parsed), [*KEY, *extra], order, ["_path"])
-    state = with_canonical_text(last)
-    return state.select(
-        *KEY, "prefix", F.try_element_at("_path", F.lit(-1)).alias("origin_as"), F.col("_path").alias("as_path"), *extra
-    )
+    usable = rib.where(F.col("prefix").isNotNull() & paths.has_numbers("as_path"))
+    rows = with_network(usable.select("prefix", "as_path", *dict.fromkeys(c for c in [*order, *extra] if c != "as_path")))
+    last = _latest(rows, [*KEY, *extra], order, ["as_path"]).withColumn("as_path", paths.path_numbers("as_path"))
+    state = with_canonical_text(last).withColumn("origin_as", F.try_element_at("as_path", F.lit(-1)))
+    return state.select(*STATE, *extra)
 
 
 def usable_updates(updates: DataFrame) -> DataFrame:
-    """Updates that change the state: withdrawals, and announcements whose path holds numbers only."""
-    given = F.col("origin_as") if "origin_as" in updates.columns else F.lit(None).cast("bigint")
-    withdrawn = F.col("update_type") == "W"
-    return (
-        announced_or_withdrawn(updates)
-        .withColumn("_path", F.when(~withdrawn, paths.strict_path_numbers("as_path")))
-        .withColumn("_given", F.nullif(given.cast("string"), F.lit("")))
-        .withColumn(
-            "_origin",
-            F.when(F.col("_given").isNull(), F.try_element_at("_path", F.lit(-1))).otherwise(
-                F.col("_given").try_cast("bigint")
-            ),
-        )
-        .where(withdrawn | (F.col("_path").isNotNull() & F.col("_origin").isNotNull()))
-    )
+    """Updates that change the state: withdrawals, and announcements whose path holds numbers only.
+
+    Adds ``given_origin``, the origin that came with the update, when it is not the path that gives it.
+    """
+    if "origin_as" in updates.columns:
+        given = F.nullif(F.col("origin_as").cast("string"), F.lit(""))
+        known = given.isNull() | given.try_cast("bigint").isNotNull()
+    else:
+        given, known = F.lit(None).cast("string"), F.lit(True)
+    announced = paths.is_strict("as_path") & known
+    rows = announced_or_withdrawn(updates).where((F.col("update_type") == "W") | announced)
+    return rows.withColumn("given_origin", given.try_cast("bigint"))
+
+
+def with_route(rows: DataFrame) -> DataFrame:
+    """``origin_as, as_path`` as numbers, from the raw path and ``given_origin``."""
+    numbers = rows.withColumn("as_path", paths.strict_path_numbers("as_path"))
+    origin = F.coalesce("given_origin", F.try_element_at("as_path", F.lit(-1)))
+    return numbers.withColumn("origin_as", origin).drop("given_origin")
 
 
 def replay(state: DataFrame, updates: DataFrame, since: Column | None = None, time: str = "ts") -> DataFrame:
     """Apply updates to a state: A sets the route of its network, W removes it, in order of ``(time, seq)``.
 
-    One aggregation over state and log together.  State rows sort before every update.  ``since`` drops updates
+    The log is first reduced to the last usable update per prefix text, on raw columns, and combined on the map side;
+    addresses and paths are parsed for what is left.  State rows sort before every update.  ``since`` drops updates
     older than the snapshot; a cut-off in the past is a filter on ``updates``.
     """
     if since is not None:
         updates = updates.where(F.col(time) >= since)
-    changes = with_network(usable_updates(updates)).select(
-        *KEY,
-        F.lit(1).alias("_gen"),
-        F.col(time).alias("_time"),
-        "seq",
-        F.when(F.col("update_type") == "A", F.struct(F.col("_origin").alias("origin_as"), F.col("_path").alias("as_path")))
-        .alias("_route"),
-    )
-    base = state.select(
-        *KEY,
-        F.lit(0).alias("_gen"),
+    usable = usable_updates(updates).withColumnRenamed(time, "_time")
+    payload = ["_time", "seq", "update_type", "given_origin", "as_path"]
+    changes = with_network(_latest(usable, ["prefix"], ["_time", "seq"], payload))
+    announced = F.col("update_type") == "A"
+    route = F.when(announced, F.struct("origin_as", "as_path"))
+    changed = with_route(changes).select(*KEY, F.struct(F.lit(1).alias("gen"), "_time", "seq").alias("_at"), route.alias("_route"))
+    never = F.struct(
+        F.lit(0).alias("gen"),
         F.lit(None).cast(updates.schema[time].dataType).alias("_time"),
         F.lit(None).cast("bigint").alias("seq"),
-        F.struct("origin_as", "as_path").alias("_route"),
     )
-    last = _latest(base.unionByName(changes), KEY, ["_gen", "_time", "seq"], ["_route"])
+    base = state.select(*KEY, never.alias("_at"), F.struct("origin_as", "as_path").alias("_route"))
+    last = _latest(base.unionByName(changed), KEY, ["_at"], ["_route"])
     live = with_canonical_text(last.where("_route IS NOT NULL"))
     return live.select(*KEY, "prefix", "_route.origin_as", "_route.as_path")
 
@@ -173,27 +173,36 @@ def summarize_updates(updates: DataFrame, by: list[str] | None = None, time: str
     global summary meets in one task before it is small.
     """
     by = by or []
-    per_path = updates.groupBy(*by, F.nullif("as_path", F.lit("")).alias("_path")).agg(
+    # (time, seq) as one number keeps the aggregation buffers fixed-width, hence a hash aggregation
+    us = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(17,0)")
+    place = us * F.lit("1" + "0" * 20).cast("decimal(21,0)") + (F.col("seq").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)"))
+    withdrawn = F.col("update_type") == "W"
+    placed = updates.select(*by, F.nullif("as_path", F.lit("")).alias("_path"), "update_type", time, place.alias("_place"))
+    per_path = placed.groupBy(*by, "_path").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("update_type") == "A").alias("a"),
-        F.count_if(F.col("update_type") == "W").alias("w"),
+        F.count_if(withdrawn).alias("w"),
         F.min(time).alias("lo"),
         F.max(time).alias("hi"),
-        F.max(F.struct(F.col(time).alias("t"), "seq", (F.col("update_type") == "W").alias("w"))).alias("last"),
+        F.max(F.when(withdrawn, F.col("_place"))).alias("last_w"),
+        F.max(F.when(withdrawn, None).otherwise(F.col("_place"))).alias("last_other"),
     )
-    total = F.coalesce(F.sum("n"), F.lit(0))
     summary = per_path.groupBy(*by).agg(
-        total.alias("total_updates"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_updates"),
         F.coalesce(F.sum("a"), F.lit(0)).alias("announcements"),
         F.coalesce(F.sum("w"), F.lit(0)).alias("withdrawals"),
         F.count("_path").alias("unique_as_paths"),
         F.min("lo").alias("start"),
         F.max("hi").alias("end"),
-        F.max("last").alias("_last"),
+        F.max("last_w").alias("_w"),
+        F.max("last_other").alias("_other"),
+    )
+    is_withdrawn = F.col("_w").isNotNull() & (F.col("_other").isNull() | (F.col("_w") > F.col("_other")))
+    return (
+        summary.withColumn("most_recent_state", F.when(is_withdrawn, "withdrawn").when(F.col("total_updates") > 0, "announced"))
+        .withColumn("status", F.when(F.col("total_updates") == 0, "No updates found"))
+        .drop("_w", "_other")
     )
-    return summary.withColumn(
-        "most_recent_state", F.when(F.col("_last.w"), "withdrawn").when(F.col("total_updates") > 0, "announced")
-    ).withColumn("status", F.when(F.col("total_updates") == 0, "No updates found")).drop("_last")
 
 
 def update_slices(updates: DataFrame, width: str = "1 minute", by: list[str] | None = None, time: str = "ts") -> DataFrame:

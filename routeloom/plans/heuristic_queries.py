@@ -171,8 +171,8 @@ SCORE_SQL = """
 )
 def discrepancies(spark: SparkSession, sf: str) -> DataFrame:
     updates = fx.load(spark, sf, "fx_updates")
-    usable = rib.usable_updates(updates).where("update_type = 'A'")
-    observed = usable.groupBy("prefix").agg(F.max_by("_origin", F.struct("ts", "seq")).alias("origin_as"))
+    announced = rib.with_route(rib.usable_updates(updates).where("update_type = 'A'"))
+    observed = announced.groupBy("prefix").agg(F.max_by("origin_as", F.struct("ts", "seq")).alias("origin_as"))
     verdicts = flaps.flap_summary(rib.announced_or_withdrawn(updates), **FLAPS)
     scored = discrepancy.analyze_routes(observed, fx.load(spark, sf, "fx_roa"), irr_items(spark, sf), verdicts)
     return _scored(scored, "prefix", "origin_as", "rpki_status", "covering_roas", "irr_origin_count")

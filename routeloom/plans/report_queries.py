@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entities, flaps, report, rib
+from ..storage import stored
 from . import fixtures as fx
 from .document_queries import chunk_search
 from .heuristic_queries import FLAP_SQL, FLAPS, IRR_SQL, ROA_SQL, SCORE_SQL, irr_items
@@ -66,8 +67,8 @@ REPORT_SQL = (
 
 
 def _parts(spark: SparkSession, sf: str):
-    classified = entities.classify(questions(spark, sf))
-    routes = report.question_routes(classified, current_state(spark, sf))
+    classified = stored(entities.classify(questions(spark, sf)))
+    routes = stored(report.question_routes(classified, current_state(spark, sf)))
     verdicts = flaps.flap_summary(rib.announced_or_withdrawn(fx.load(spark, sf, "fx_updates")), **FLAPS)
     validated = report.validated_questions(
         classified, routes, fx.load(spark, sf, "fx_roa"), irr_items(spark, sf), verdicts
@@ -80,7 +81,7 @@ def _parts(spark: SparkSession, sf: str):
     REPORT_SQL + " SELECT qid, kind, pos - 1 AS pos, asked, matching_prefix, origin_as, path AS as_path FROM routes",
 )
 def question_routes(spark: SparkSession, sf: str) -> DataFrame:
-    classified = entities.classify(questions(spark, sf))
+    classified = stored(entities.classify(questions(spark, sf)))
     routes = report.question_routes(classified, current_state(spark, sf))
     return routes.withColumn("as_path", F.array_join("as_path", ", "))
 

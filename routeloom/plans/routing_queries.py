@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import covering, rib
+from ..schemas import RIB_STATE
+from ..storage import stored
 from . import fixtures as fx
 from .registry import register
 
@@ -280,7 +282,7 @@ def update_slices(spark: SparkSession, sf: str) -> DataFrame:
 def current_state(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshot of the table rows with the updates applied."""
     base = rib.snapshot(fx.load(spark, sf, "fx_rib"), RIB_ORDER)
-    return rib.replay(base, fx.load(spark, sf, "fx_updates"))
+    return stored(rib.replay(base, fx.load(spark, sf, "fx_updates")))
 
 
 STATE_SQL = (
@@ -318,7 +320,7 @@ def address_routes_after_replay(spark: SparkSession, sf: str) -> DataFrame:
     addr AS (SELECT addr_id, ip, {v4_value('ip')} AS v FROM fx_addresses)""" + LPM_SQL.format(state="state"),
 )
 def lpm_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    state = rib.snapshot(fx.load(spark, sf, "fx_rib"), RIB_ORDER)
+    state = stored(rib.snapshot(fx.load(spark, sf, "fx_rib"), RIB_ORDER))
     return _routes(covering.longest_match(fx.load(spark, sf, "fx_addresses"), state))
 
 
@@ -334,7 +336,7 @@ def lpm_lookup(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a.addr_id, a.ip, h.plen AS plen, h.as_path FROM addr a LEFT JOIN (FROM hits WHERE rn = 1) h USING (addr_id)""",
 )
 def lpm_lookup_v6(spark: SparkSession, sf: str) -> DataFrame:
-    found = covering.longest_match(fx.load(spark, sf, "fx_addresses6"), rib.snapshot(fx.load(spark, sf, "fx_rib6")))
+    found = covering.longest_match(fx.load(spark, sf, "fx_addresses6"), stored(rib.snapshot(fx.load(spark, sf, "fx_rib6"))))
     return found.select("addr_id", "ip", F.col("plen").cast("bigint").alias("plen"), _joined())
 
 
@@ -346,18 +348,11 @@ def lpm_lookup_v6(spark: SparkSession, sf: str) -> DataFrame:
 )
 def exact_lookup(spark: SparkSession, sf: str) -> DataFrame:
     updates = fx.load(spark, sf, "fx_updates")
-    empty = spark.createDataFrame([], rib_state_schema())
-    state = rib.replay(empty, updates)
+    state = rib.replay(spark.createDataFrame([], RIB_STATE), updates)
     found = covering.exact_lookup(fx.load(spark, sf, "fx_vrp").select("vrp_id", "prefix"), state)
     return found.select("vrp_id", "prefix", "matching_prefix", "origin_as", _joined())
 
 
-def rib_state_schema():
-    from ..schemas import RIB_STATE
-
-    return RIB_STATE
-
-
 @register(
     "routes_by_origin",
     fx.cte("fx_rib") + "," + SNAPSHOT_SQL + f"""
