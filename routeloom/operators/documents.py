@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Line breaks and blanks as Unicode text handling has them, and the headings of back matter.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-BLANKS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LINE_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BACK_MATTER = [
     "normative references", "informative references", "full copyright statement", "editors' addresses",
     "intellectual property",
@@ -25,13 +25,20 @@ CHUNK_SIZE = 800
 CHUNK_OVERLAP = 100
 
 
-def _first_line(lines: str, test) -> Column:
-    """1-based position of the first line that passes, 0 when none does."""
-    return F.array_position(F.transform(lines, lambda line: test(F.lower(line))), True)
+# ``m``: ^ at every line; ``d``: only \\n ends a line, as all breaks are turned into it first.
+_FLAGS = "(?imd)"
+# A run of blanks with a line break in it.  The look-behind keeps long runs without one linear.
+_LINE_ENDS = rf"(?<!{BLANK})(?:(?!\n){BLANK})*+\n{BLANK}*+"
+_OUTER = rf"\A{BLANK}++|(?<!{BLANK}){BLANK}++\z"
 
 
-def _from(lines: str, start: Column) -> Column:
-    return F.slice(lines, start, F.greatest(F.size(lines), F.lit(1)))
+def _line_with(text: str, pattern: str) -> Column:
+    """Position of the first line that holds the pattern, 0 when none does."""
+    return F.regexp_instr(F.col(text), F.lit(f"{_FLAGS}^.*?(?:{pattern})"))
+
+
+def _until(text: str, position: Column) -> Column:
+    return F.substr(F.col(text), F.lit(1), position - 1)
 
 
 def clean_documents(documents: DataFrame, text: str = "text", skip_lines: int = 250, strict_toc: bool = False) -> DataFrame:
@@ -39,45 +46,38 @@ def clean_documents(documents: DataFrame, text: str = "text", skip_lines: int =
 
     Starts at the abstract; drops the table of contents up to the first "1. Introduction" line (which usually is the
     entry inside the contents; ``strict_toc`` takes the last one); cuts at the first back-matter heading past
-    ``skip_lines``; trims lines and drops blank ones.
+    ``skip_lines``; trims lines and drops blank ones.  All of it works on positions in the text, never on an array of
+    lines, so it is a few linear passes of generated code.
     """
-    introduction = r"^\s*1\.\s+introduction"
-    contents = _first_line("_lines", lambda l: F.contains(l, F.lit("table of contents")))
+    introduction = r"[ \t]*1\.[ \t]+introduction"
     if strict_toc:
-        hits = F.filter(
-            F.transform("_lines", lambda l, i: F.when(F.lower(l).rlike(introduction), i + 1)), lambda i: i.isNotNull()
-        )
-        body = F.coalesce(F.array_max(hits), F.lit(0))
+        before_last = F.regexp_extract("_t", rf"(?is)\A(.*\n)?{introduction}", 1)
+        body = F.when(F.col("_t").rlike(rf"{_FLAGS}^{introduction}"), F.length(before_last) + 1).otherwise(0)
+    else:
+        body = F.regexp_instr(F.col("_t"), F.lit(f"{_FLAGS}^{introduction}"))
+    if skip_lines > 0:
+        kept = F.substring_index("_t", "\n", skip_lines)
+        tail_at = F.length(kept) + 2
     else:
-        body = _first_line("_lines", lambda l: l.rlike(introduction))
-    has_contents = (F.col("_toc") > 0) & (F.col("_toc") < F.col("_body"))
-    back = _first_line("_tail", lambda l: l.rlike("|".join(BACK_MATTER)))
-    trim = lambda line: F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", "")
+        tail_at = F.lit(1)
     return (
-        documents.withColumn("_lines", F.split(text, LINE_BREAK))
-        .withColumn(
-            "_lines",
-            _from("_lines", F.greatest(_first_line("_lines", lambda l: F.contains(l, F.lit("abstract"))), F.lit(1))),
-        )
-        .withColumn("_toc", contents)
+        documents.withColumn("_t", F.regexp_replace(text, LINE_BREAK, "\n"))
+        .withColumn("_t", F.substr(F.col("_t"), F.greatest(_line_with("_t", "abstract"), F.lit(1))))
+        .withColumn("_toc", _line_with("_t", "table of contents"))
         .withColumn("_body", body)
         .withColumn(
-            "_lines",
+            "_t",
             F.when(
-                has_contents,
-                F.concat(F.slice("_lines", F.lit(1), (F.col("_toc") - 1).cast("int")), _from("_lines", F.col("_body"))),
-            ).otherwise(F.col("_lines")),
-        )
-        .withColumn("_tail", _from("_lines", F.lit(skip_lines + 1)))
-        .withColumn("_cut", back)
-        .withColumn(
-            "_lines",
-            F.when(F.col("_cut") > 0, F.slice("_lines", F.lit(1), (F.col("_cut") + skip_lines - 1).cast("int"))).otherwise(
-                F.col("_lines")
-            ),
+                (F.col("_toc") > 0) & (F.col("_toc") < F.col("_body")),
+                F.concat(_until("_t", F.col("_toc")), F.substr(F.col("_t"), F.col("_body"))),
+            ).otherwise(F.col("_t")),
         )
-        .withColumn(text, F.array_join(F.filter(F.transform("_lines", trim), lambda l: l != ""), "\n"))
-        .drop("_lines", "_toc", "_body", "_tail", "_cut")
+        .withColumn("_tail_at", tail_at)
+        .withColumn("_tail", F.substr(F.col("_t"), F.col("_tail_at")))
+        .withColumn("_cut", _line_with("_tail", "|".join(BACK_MATTER)))
+        .withColumn("_t", F.when(F.col("_cut") > 0, _until("_t", F.col("_tail_at") + F.col("_cut") - 1)).otherwise(F.col("_t")))
+        .withColumn(text, F.regexp_replace(F.regexp_replace("_t", _LINE_ENDS, "\n"), _OUTER, ""))
+        .drop("_t", "_toc", "_body", "_tail_at", "_tail", "_cut")
     )
 
 

@@ -46,22 +46,27 @@ def extract_entities(questions: DataFrame, text: str = "question") -> DataFrame:
 
     An address that is also the address of a prefix in the text is left out.
     """
-    prefixes = F.regexp_extract_all(text, F.lit(PREFIX_PATTERN), 0)
+    # most texts hold no slash, and looking for one is cheap
+    prefixes = F.when(F.contains(F.col(text), F.lit("/")), F.regexp_extract_all(text, F.lit(PREFIX_PATTERN), 0)).otherwise(
+        F.array().cast("array<string>")
+    )
     addresses = F.regexp_extract_all(text, F.lit(IP_PATTERN), 0)
     in_prefixes = F.transform(F.col("prefixes"), lambda p: F.substring_index(p, "/", 1))
-    lowered = F.lower(text)
+    lowered = F.col("_lowered")
     return (
-        questions.withColumn("prefixes", _as_set(prefixes))
+        questions.withColumn("_lowered", F.lower(text))
+        .withColumn("prefixes", _as_set(prefixes))
         .withColumn("ip_addresses", F.sort_array(F.array_except(addresses, in_prefixes)))
         .withColumn("asns", _as_set(F.regexp_extract_all(text, F.lit(ASN_PATTERN), 1)))
         .withColumn("keywords", _words_in(lowered, KEYWORDS))
         .withColumn("time_references", _words_in(lowered, TIME_WORDS))
+        .drop("_lowered")
     )
 
 
 def classify(extracted: DataFrame, text: str = "question") -> DataFrame:
     """Add ``query_types``: static, live, rpki, historical, in this order; static when nothing else applies."""
-    lowered = F.lower(text)
+    lowered = F.col("_lowered")
     named = (F.size("prefixes") > 0) | (F.size("ip_addresses") > 0) | (F.size("asns") > 0)
     types = F.array_compact(
         F.array(
@@ -71,8 +76,12 @@ def classify(extracted: DataFrame, text: str = "question") -> DataFrame:
             F.when(_any_of(lowered, HISTORY_WORDS) | (F.size("time_references") > 0), "historical"),
         )
     )
-    return extracted.withColumn(
-        "query_types", F.transform(F.array(types), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("static"))))[0]
+    nothing = F.size("query_types") == 0
+    return (
+        extracted.withColumn("_lowered", F.lower(text))
+        .withColumn("query_types", types)
+        .withColumn("query_types", F.when(nothing, F.array(F.lit("static"))).otherwise(F.col("query_types")))
+        .drop("_lowered")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, evaluate, retrieval
+from ..storage import stored
 from . import fixtures as fx
 from .registry import register
 
@@ -143,7 +144,8 @@ def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
 
     No SQL: the term hash is Spark's own.  Checked against brute force in the tests.
     """
-    chunks = chunk_documents(spark, sf).withColumn("id", F.concat("source", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 9, "0")))
+    numbered = F.concat("source", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 9, "0"))
+    chunks = stored(chunk_documents(spark, sf).withColumn("id", numbered))
     model = documents.fit_vectorizer(chunks)
     turns = fx.read(spark, sf, "conversations").where("role = 'user'").select(
         F.concat("conv_id", F.lit("/"), "turn").alias("qid"), "text"

@@ -112,7 +112,11 @@ SQL: dict[str, str] = {
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table.  One small file with one row group would keep a single core busy, so it is spread first; a table
+    of many files, which any large one is, is read as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
