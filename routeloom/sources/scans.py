@@ -61,7 +61,8 @@ def incidents(spark: SparkSession, path: str) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Whole files as ``source, text``; ``source`` is the file name.  Files that are not UTF-8 are left out."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).text(path)
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    files = reader.text(path, wholetext=True, pathGlobFilter=pattern)
     readable = files.where(F.is_valid_utf8("value"))
     return readable.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
 
