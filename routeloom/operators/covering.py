@@ -4,7 +4,9 @@ Containment is turned into an equi-join: a probe row per prefix length that occu
 that length.  The distinct lengths number at most 33 + 129, whatever the data, so they are broadcast.
 
 Short networks cover a large part of all probes (the default route covers every one), so their key would be hot.
-They are few, so the network side is copied ``SALTS`` times and the probes take one copy each.
+They are few (an IPv4 table has at most 8,191 of up to 12 bits), so the network side is copied ``SALTS`` times and the
+probes take one copy each.  A longer IPv4 network holds at most 2**19 distinct addresses, which bounds its group; what
+is left, a long IPv6 network with a large share of all addresses, the adaptive skew join splits.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ SALTS = 64
 
 
 def _short(family: Column, plen: Column) -> Column:
-    return F.when(family == 4, plen <= 16).otherwise(plen <= 40)
+    return F.when(family == 4, plen <= 12).otherwise(plen <= 32)
 
 
 def salted_networks(networks: DataFrame, salts: int = SALTS) -> DataFrame:

@@ -1,8 +1,8 @@
 """From questions to the text context of an answer: routes, validation, analysis, documents, history.
 
 The text of a question is bounded by its own entities and its top documents.  The history of a prefix is not, and many
-questions may ask about one prefix, so it is rendered once per prefix, in parts of an hour, and a question names the
-prefix whose history belongs to it instead of carrying a copy.
+questions may ask about one prefix, so it is rendered once per update, as rows, and a question names the prefix whose
+history belongs to it instead of carrying a copy.
 """
 
 from __future__ import annotations
@@ -160,7 +160,7 @@ def analysis_text() -> Column:
 def context_report(
     classified: DataFrame, routes: DataFrame, validated: DataFrame, documents: DataFrame | None = None
 ) -> DataFrame:
-    """``qid, entities, context, history_prefix``: the context without the history, which is ``history_parts``."""
+    """``qid, entities, context, history_prefix``: the context without the history, which is ``history_entries``."""
     checked = validated.select("qid", _lines(validation_text(), analysis_text()).alias("checked_text"))
     rows = (
         classified.select("qid", entity_lines().alias("entities"))
@@ -181,15 +181,16 @@ def _or_none(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("None"))
 
 
-def history_parts(updates: DataFrame, time: str = "ts") -> DataFrame:
-    """The history section per prefix, newest first, in parts of one hour: ``prefix, part, updates, text``.
+def history_entries(updates: DataFrame, time: str = "ts") -> DataFrame:
+    """The history section of each prefix, one row per update: ``prefix, <time>, seq, text``.
 
-    The parts of a prefix joined in descending order of ``part`` are its whole history.
+    The texts of a prefix in descending order of ``(time, seq)`` are its whole history.  They stay rows, since a prefix
+    may have any number of updates; nothing is shuffled.
     """
     whole = F.date_format(time, "yyyy-MM-dd HH:mm:ss")
     micros = F.date_format(time, "SSSSSS")
     stamp = F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
-    item = _lines(
+    text = _lines(
         F.concat(F.lit("Timestamp: "), stamp),
         F.concat(F.lit("Type: "), "update_type", F.lit(" (A=Announcement, W=Withdrawal)")),
         F.concat(F.lit("Prefix: "), "prefix"),
@@ -197,13 +198,7 @@ def history_parts(updates: DataFrame, time: str = "ts") -> DataFrame:
         F.concat(F.lit("AS Path: "), _or_none("as_path")),
         F.lit(""),
     )
-    order = F.struct(F.col(time).alias("t"), "seq", item.alias("text"))
-    parts = updates.groupBy("prefix", F.date_trunc("hour", time).alias("part")).agg(
-        F.sort_array(F.collect_list(order), asc=False).alias("i")
-    )
-    return parts.select(
-        "prefix", "part", F.size("i").alias("updates"), F.array_join(F.transform("i", lambda x: x["text"]), "\n").alias("text")
-    )
+    return updates.select("prefix", time, "seq", text.alias("text"))
 
 
 def answer_context(

@@ -116,17 +116,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     of many files, which any large one is, is read as it is."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a lazy DataFrame over the given Parquet files."""
+    used = [t for t in TABLES if f"FROM {t}" in SQL[name]]
+    return derive(spark, name, {t: read(spark, sf_dir, t) for t in used})
+
+
+def derive(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
     # the formatter of ``spark.sql`` reads braces, so those of the data are doubled first
     text = SQL[name].replace("{", "{{").replace("}", "}}")
-    used = [t for t in TABLES if f"FROM {t}" in text]
-    for t in used:
+    for t in tables:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text, **{t: read(spark, sf_dir, t) for t in used})
+    return spark.sql(text, **tables)
 
 
 def cte(*names: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import raw_origin
 from ..operators import entities, flaps, report, rib
 from ..storage import stored
 from . import fixtures as fx
@@ -125,18 +126,16 @@ def context_report(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "context_history",
     fx.cte("fx_updates") + """
-    SELECT prefix, date_trunc('hour', ts) AS part, count(*) AS updates, string_agg(concat(
+    SELECT prefix, ts, seq, concat(
       'Timestamp: ', CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END, chr(10),
       'Type: ', update_type, ' (A=Announcement, W=Withdrawal)', chr(10), 'Prefix: ', prefix, chr(10),
       'Origin AS: ', coalesce(list_filter(regexp_split_to_array(as_path, '\\s+'), lambda x: x <> '')[-1], 'None'), chr(10),
-      'AS Path: ', coalesce(as_path, 'None'), chr(10)), chr(10) ORDER BY ts DESC, seq DESC) AS text
-    FROM fx_updates WHERE update_type IN ('A', 'W') GROUP BY ALL""",
+      'AS Path: ', coalesce(as_path, 'None'), chr(10)) AS text
+    FROM fx_updates WHERE update_type IN ('A', 'W')""",
 )
 def context_history(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.paths import raw_origin
-
-    logged = rib.announced_or_withdrawn(fx.load(spark, sf, "fx_updates")).withColumn("origin_as", raw_origin("as_path"))
-    return report.history_parts(logged)
+    logged = rib.announced_or_withdrawn(fx.load(spark, sf, "fx_updates"))
+    return report.history_entries(logged.withColumn("origin_as", raw_origin("as_path")))
 
 
 @register("context_documents")
