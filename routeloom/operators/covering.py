@@ -38,8 +38,8 @@ def network_probes(rows: DataFrame, networks: DataFrame, identity: list[str], sa
     return (
         rows.join(lengths, "family")
         .where(plen <= F.col("max_len"))
-        .withColumn("net_hi", mask_hi(fam, F.col("hi"), plen))
-        .withColumn("net_lo", mask_lo(fam, F.col("lo"), plen))
+        .withColumn("net_hi", F.expr(mask_hi("family", "hi", "plen")))
+        .withColumn("net_lo", F.expr(mask_lo("family", "lo", "plen")))
         .withColumn("salt", F.when(_short(fam, plen), F.pmod(F.xxhash64(*identity), F.lit(salts)).cast("int")).otherwise(0))
         .drop("hi", "lo", "max_len")
     )
@@ -59,7 +59,7 @@ def longest_match(addresses: DataFrame, state: DataFrame, text: str = "ip", how:
     ``state`` is read twice (its lengths, its routes) and should be a stored table.
     """
     distinct = with_address(addresses.select(text).distinct(), text)
-    probes = network_probes(distinct.withColumn("max_len", max_plen(F.col("family"))), state, [text])
+    probes = network_probes(distinct.withColumn("max_len", F.expr(max_plen("family"))), state, [text])
     routes = salted_networks(state.select(*KEY, F.col("prefix").alias("matching_prefix"), "origin_as", "as_path"))
     hits = probes.join(routes, [*KEY, "salt"])
     best = hits.groupBy(text).agg(

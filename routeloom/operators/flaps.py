@@ -46,7 +46,7 @@ def trailing_window(updates: DataFrame, minutes: float = 5, time: str = "ts") ->
 
 def _bucketed(rows: DataFrame, minutes: float) -> tuple[DataFrame, Window]:
     width = max(_micros(minutes * 60) // BUCKETS_PER_WINDOW, 1)
-    rows = rows.withColumn("_bucket", F.floor(F.col("_us") / width)).repartition("prefix", "_bucket")
+    rows = rows.withColumn("_bucket", F.col("_us") - F.pmod("_us", F.lit(width))).repartition("prefix", "_bucket")
     return rows, Window.partitionBy("prefix", "_bucket").orderBy("_us", "seq")
 
 
