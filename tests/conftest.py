@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,7 +12,5 @@ from routeloom.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("routeloom-tests", cpus=8)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     yield session
     session.stop()
