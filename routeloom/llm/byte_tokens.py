@@ -12,8 +12,8 @@ from array import array
 
 import regex
 
-#: Words remembered by a task at most; beyond that new ones are encoded each time they come.
-REMEMBERED = 400_000
+#: Words remembered by a worker at most; beyond that new ones are encoded each time they come.
+REMEMBERED = 500_000
 
 # The word pattern of this vocabulary's byte-level pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -22,13 +22,18 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 class _Memory(dict):
+    """Makes and, from the second time on, remembers values; most keys of a corpus come once."""
+
     def __init__(self, make):
         self.make = make
+        self.once = bytearray(1 << 22)
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(self) < REMEMBERED:
+        slot = hash(key) & 0x3FFFFF
+        if self.once[slot] and len(self) < REMEMBERED:
             self[key] = value
+        self.once[slot] = 1
         return value
 
 
@@ -42,7 +47,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = f"<u{array(self.code).itemsize}"
-        self.words = _Memory(self.whole)
+        self.tokenize = self.tokenizer.model.tokenize
+        # how a byte-level vocabulary writes bytes: as the printable characters of Latin-1, others from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (b for b in range(256) if b not in printable)
+        self.written = {b: 256 + i for i, b in enumerate(others)}
+        self.space = chr(self.written[32])
+        self.words = _Memory(self.word)
         self.chunks = _Memory(self._chunk)
         self.find = regex.compile(WORD).findall
         self.odd = re.compile(r" \s|[\0-\x08\x0e-\x1f\x7f-\x9f\u180e]")
@@ -51,11 +62,20 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Of a text that the pre-tokenizer would not cut."""
+        if word.isascii() and word.isprintable():
+            written = word.replace(" ", self.space)
+        else:
+            written = word.encode().decode("latin-1").translate(self.written)
+        return array(self.code, [t.id for t in self.tokenize(written)]).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         if self.rare.search(chunk):
             return self.whole(chunk)
-        words = self.find(chunk)
-        return self.words[chunk] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self.word(chunk)
+        return b"".join(map(self.words.__getitem__, self.find(chunk)))
 
     def encode(self, text: str) -> bytes:
         if self.odd.search(text):
