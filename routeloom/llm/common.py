@@ -46,6 +46,21 @@ def map_batches(df: DataFrame, work: Callable[[Batches], Batches], schema: str |
     return df.mapInArrow(lambda batches: work(small(batches)), schema)
 
 
+ROW_KEYS = ["__id", "__null", "__sha"]
+
+
+def keyed(df: DataFrame, sha: Column | None = None) -> DataFrame:
+    """``df`` with columns ROW_KEYS that tell its rows by doc_id, which may be null, and text."""
+    sha = F.sha2(text_of(), 256) if sha is None else sha
+    return df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__sha": sha})
+
+
+def only(docs: DataFrame, staying: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are in ``staying`` (doc_id, text_sha256), of repeated ones one."""
+    stay = keyed(staying, F.col("text_sha256")).select(ROW_KEYS)
+    return keyed(docs).join(stay, ROW_KEYS, "left_semi").dropDuplicates(ROW_KEYS).drop(*ROW_KEYS)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one array of bytes, and where each begins (one more than texts); null is empty."""
     column = column.cast(pa.large_string()).fill_null("")

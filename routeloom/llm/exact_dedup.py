@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, text_of
+from .common import kept, only, text_of
 
 #: Keys of a shard on average.
 SHARD = 50_000
@@ -179,10 +179,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def unique(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    keys = ["__id", "__null", "__sha"]
-
-    def keyed(df: DataFrame, sha: Column) -> DataFrame:
-        return df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__sha": sha})
-
-    stay = keyed(deduplicate(docs).where("kept"), F.col("text_sha256")).select(keys)
-    return keyed(docs, F.sha2(text_of(), 256)).join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return only(docs, deduplicate(docs).where("kept"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, personal_data, piece_codec, quality_model, quality_rules, token_files
+from . import exact_dedup, language_id, ngram_join, packing, personal_data, piece_codec, quality_model, quality_rules, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_sha256")
 
 
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("text_sha256")
+
+
 @query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.report(table(spark, sf_dir, "documents"))
