@@ -9,8 +9,9 @@ from .netaddr import _col
 
 DIGITS = "^[0-9]+$"
 # A path of numbers only, each surely a BIGINT.  Nearly all paths are of this form, and one regular expression inside
-# generated code is much cheaper than taking the path apart.
-PLAIN_PATH = r"^\s*[0-9]{1,18}(?:\s+[0-9]{1,18})*\s*$"
+# generated code is much cheaper than taking the path apart.  Possessive, as the JVM matches a repeated group that may
+# give way by recursion, and a long path would overrun the stack of the executor.
+PLAIN_PATH = r"^\s*+[0-9]{1,18}+(?:\s++[0-9]{1,18}+)*+\s*+$"
 
 
 def path_tokens(path: Column | str) -> Column:
@@ -75,16 +76,16 @@ def raw_origin(path: Column | str) -> Column:
     return F.try_element_at(path_tokens(path), F.lit(-1))
 
 
-def effective_origin(origin: Column | str, path: Column | str) -> Column:
-    """The origin given with an update when it is not empty, else the last number of its path."""
-    given = F.nullif(_col(origin).cast("string"), F.lit(""))
-    return F.when(given.isNull(), F.try_element_at(strict_path_numbers(path), F.lit(-1))).otherwise(
-        given.try_cast("bigint")
-    )
-
+def communities_text(communities: Column | str, kind: str = "pairs") -> Column:
+    """Communities as text, items joined by blanks; empty is NULL.
 
-def communities_text(communities: Column | str) -> Column:
-    """``ARRAY<STRUCT<asn, value>>`` to ``asn:value`` items joined by blanks; missing parts are 0, empty is NULL."""
+    ``kind`` says what they are: ``pairs``, ``ARRAY<STRUCT<asn, value>>`` that become ``asn:value`` with missing parts
+    as 0; ``items``, an array of texts; ``text``, kept as it is.
+    """
+    if kind == "text":
+        return F.nullif(_col(communities).cast("string"), F.lit(""))
+    if kind == "items":
+        return F.nullif(F.array_join(_col(communities), " "), F.lit(""))
     part = lambda c: F.coalesce(c.cast("string"), F.lit("0"))
     items = F.transform(
         _col(communities), lambda c: F.concat(part(c["asn"]), F.lit(":"), part(c["value"]))

@@ -71,12 +71,13 @@ def longest_match(addresses: DataFrame, state: DataFrame, text: str = "ip", how:
 def validate_origins(routes: DataFrame, vrps: DataFrame) -> DataFrame:
     """RFC 6811 state of each distinct ``(prefix, origin_as)``: valid, invalid or not-found.
 
-    ``vrps``: ``prefix, max_length, asn``.  ``origin_as`` NULL, or ``origin_is_set`` true, matches no VRP.  VRPs are
+    ``vrps``: ``prefix, max_length, asn``; without a maximum length, that of the prefix counts.  ``origin_as`` NULL, or ``origin_is_set`` true, matches no VRP.  VRPs are
     first combined per network and per (network, ASN), so a probe meets at most one row of each kind however many
     VRPs one network has.
     """
     total = F.lit(-1).cast("bigint")
     networks = with_network(vrps.select("prefix", F.col("max_length").cast("int"), F.col("asn").cast("bigint")))
+    networks = networks.withColumn("max_length", F.coalesce("max_length", "plen"))
     per_asn = stored(
         networks.groupingSets([KEY, [*KEY, "asn"]], *KEY, "asn")
         .agg(F.count("*").alias("n"), F.max("max_length").alias("max_length"), F.grouping("asn").alias("_all"))

@@ -97,18 +97,18 @@ def complete(extracted: DataFrame) -> DataFrame:
 def merge_extractions(pattern: DataFrame, model: DataFrame, key: str = "qid", strategy: str = "llm_primary") -> DataFrame:
     """Combine two extraction tables of the same questions.
 
-    ``llm_primary`` takes the model's lists, ``merge_results`` the union per list, anything else the pattern's.
+    ``llm_primary`` takes the model's lists, and the pattern's where the model has none; ``merge_results`` the union per
+    list; anything else the pattern's.  A question of either table is a question of the result.
     """
     left, right = complete(pattern).select(key, *ENTITY_TYPES), complete(model).select(key, *ENTITY_TYPES)
-    if strategy == "llm_primary":
-        return right
-    if strategy != "merge_results":
+    if strategy not in ("llm_primary", "merge_results"):
         return left
     right = right.withColumnsRenamed({t: f"_{t}" for t in ENTITY_TYPES})
-    joined = left.join(right, key, "left")
-    merged = [
-        _as_set(F.array_union(t, F.coalesce(f"_{t}", F.array().cast("array<string>")))).alias(t) for t in ENTITY_TYPES
-    ]
+    joined = left.join(right, key, "full")
+    empty = F.array().cast("array<string>")
+    if strategy == "llm_primary":
+        return joined.select(key, *[F.coalesce(f"_{t}", t).alias(t) for t in ENTITY_TYPES])
+    merged = [_as_set(F.array_union(F.coalesce(t, empty), F.coalesce(f"_{t}", empty))).alias(t) for t in ENTITY_TYPES]
     return joined.select(key, *merged)
 
 

@@ -19,15 +19,25 @@ def roa_rows(answers: DataFrame) -> DataFrame:
 
 
 def irr_items(answers: DataFrame) -> DataFrame:
-    """Answers ``prefix, answer`` (JSON text) to one row per ``key, value`` item of either record list."""
-    parsed = answers.select("prefix", F.from_json("answer", IRR_ANSWER).alias("a"))
+    """Answers ``prefix, answer`` (JSON text) to one row per ``key, value`` item of either record list.
+
+    A list without items gives a row without key and value, so that no asked prefix is lost; NULL records are passed
+    over.  An answer that is no JSON gives a row of section ``error``.
+    """
+    unreadable = F.try_parse_json("answer").isNull()
+    parsed = answers.select("prefix", F.from_json("answer", IRR_ANSWER).alias("a"), unreadable.alias("_bad"))
 
     def items(section: str) -> DataFrame:
-        return parsed.select("prefix", F.posexplode(F.flatten(f"a.data.{section}")).alias("pos", "item")).select(
+        records = F.flatten(F.filter(f"a.data.{section}", lambda r: r.isNotNull()))
+        return parsed.where("NOT _bad").select("prefix", F.posexplode_outer(records).alias("pos", "item")).select(
             "prefix", F.lit(section).alias("section"), F.col("pos").cast("bigint").alias("pos"), "item.key", "item.value"
         )
 
-    return items("irr_records").unionByName(items("records"))
+    none = F.lit(None).cast("string")
+    errors = parsed.where("_bad").select(
+        "prefix", F.lit("error").alias("section"), F.lit(None).cast("bigint").alias("pos"), none.alias("key"), none.alias("value")
+    )
+    return items("irr_records").unionByName(items("records")).unionByName(errors)
 
 
 def with_roa_status(rows: DataFrame, roas: DataFrame) -> DataFrame:
@@ -86,7 +96,8 @@ def irr_origins(items: DataFrame) -> DataFrame:
     """Origins and authorities per prefix, distinct, in the order first seen.
 
     Origins come from ``irr_records``; when these name none, from ``records``, and authorities then from both.  The lists
-    hold distinct values only, combined before they are collected.
+    hold distinct values only, combined before they are collected.  A prefix without items has status ``not-found`` and
+    empty lists; one whose answer could not be read, status ``error``.
     """
     found = F.struct(F.when(F.col("section") == "irr_records", 0).otherwise(1).alias("s"), "pos", "v")
     lists = (
@@ -102,16 +113,18 @@ def irr_origins(items: DataFrame) -> DataFrame:
         F.transform(F.filter(c, lambda x: (x["s"] == 0) | ~F.col("_primary")), lambda x: x["v"])
     )
     return (
-        items.select("prefix")
-        .distinct()
+        items.groupBy("prefix")
+        .agg(F.max(F.col("section") == "error").alias("_error"))
         .join(lists, "prefix", "left")
         .withColumn("_primary", F.coalesce(primary, F.lit(False)))
         .select(
             "prefix",
             F.coalesce(values("o"), F.array().cast("array<string>")).alias("irr_origins"),
             F.coalesce(values("a"), F.array().cast("array<string>")).alias("authorities"),
+            "_error",
         )
-        .withColumn("status", F.when(F.size("irr_origins") > 0, "success").otherwise("not-found"))
+        .withColumn("status", F.when(F.size("irr_origins") > 0, "success").when(F.col("_error"), "error").otherwise("not-found"))
+        .drop("_error")
     )
 
 

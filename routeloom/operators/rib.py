@@ -65,19 +65,16 @@ def updates_in_range(
     collectors: list[str] | None = None,
     prefix: str | None = None,
     asn: str | None = None,
-    longest: timedelta | None = timedelta(hours=1),
+    longest: timedelta | None = None,
     time: str = "ts",
 ) -> DataFrame:
-    """Updates of ``[start, end)``, the range cut to ``longest`` from its start; a NULL bound selects nothing.
+    """Updates of ``[start, end)``, cut to ``longest`` from its start if given; a NULL bound selects nothing.
 
     The time bounds are literals, so they reach the Parquet scan as pushed filters.
     """
     if longest is not None:
         end = F.least(end, start + F.lit(longest))
-        keep = start.isNotNull() & end.isNotNull()
-    else:
-        keep = F.lit(True)
-    keep = keep & (F.col(time) >= start) & (F.col(time) < end)
+    keep = start.isNotNull() & end.isNotNull() & (F.col(time) >= start) & (F.col(time) < end)
     if collectors:
         keep = keep & F.col("collector").isin(*collectors)
     if prefix:
@@ -125,6 +122,18 @@ def usable_updates(updates: DataFrame) -> DataFrame:
     return rows.withColumn("given_origin", given.try_cast("bigint"))
 
 
+def rejected_updates(updates: DataFrame) -> DataFrame:
+    """``reason, n``: updates that ``usable_updates`` or the parse of their prefix leaves out, by the first reason that holds."""
+    reason = (
+        F.when(~F.coalesce(F.col("update_type").isin("A", "W"), F.lit(False)), "type")
+        .when(~F.coalesce(F.trim("prefix") != "", F.lit(False)), "blank prefix")
+        .when(F.col("family").isNull(), "prefix")
+        .when((F.col("update_type") == "A") & ~F.coalesce(paths.is_strict("as_path"), F.lit(False)), "path")
+    )
+    rows = with_network(updates.select("prefix", "update_type", "as_path"), drop_invalid=False)
+    return rows.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def with_route(rows: DataFrame) -> DataFrame:
     """``origin_as, as_path`` as numbers, from the raw path and ``given_origin``."""
     numbers = rows.withColumn("as_path", paths.strict_path_numbers("as_path"))

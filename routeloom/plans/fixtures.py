@@ -64,8 +64,26 @@ SQL: dict[str, str] = {
           CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1000 + p_partkey % 5 END AS asn
         FROM (SELECT *, (p_partkey * 2654435761) % 3758096384 AS a FROM part) t
         UNION ALL
-        SELECT 1000000000000 + s_suppkey, {net24('s_suppkey')}, CASE WHEN s_suppkey % 4 = 0 THEN 23 ELSE 24 END,
+        SELECT 1000000000000 + s_suppkey, {net24('s_suppkey')}, CASE WHEN s_suppkey % 4 = 0 THEN 23 WHEN s_suppkey % 4 = 1 THEN NULL ELSE 24 END,
           1000 + s_suppkey % 5 FROM supplier""",
+    # Some without a maximum length; the shorter ones cover all IPv6 updates of a user group.
+    "fx_vrp6": f"""
+        SELECT s_suppkey AS vrp_id, {net48('s_suppkey * 10 + 9')} AS prefix, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 47 + s_suppkey % 3 END AS max_length,
+          1000 + s_suppkey % 5 AS asn FROM supplier
+        UNION ALL
+        SELECT 1000000000000 + n_nationkey, concat('2001:', n_nationkey % 4 + 1, '::/32'), CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 40 + n_nationkey % 3 * 8 END,
+          1000 + n_nationkey % 5 FROM nation""",
+    # Registry answers as JSON text: no JSON, a NULL record before a good one, empty lists, fallback records, no lists, none.
+    "fx_answers": f"""
+        SELECT c_custkey AS cust, {net24('c_custkey')} AS prefix, CASE c_custkey % 6
+          WHEN 0 THEN 'not json'
+          WHEN 1 THEN concat('{{"data":{{"irr_records":[null,[{{"key":"origin","value":"AS', 1000 + c_nationkey, '"}},{{"key":"source","value":"RIPE"}}]],"records":[]}}}}')
+          WHEN 2 THEN '{{"data":{{"irr_records":[],"records":[]}}}}'
+          WHEN 3 THEN concat('{{"data":{{"irr_records":[],"records":[[{{"key":"OriginAS","value":" AS', 1000 + c_nationkey, '"}}]]}}}}')
+          WHEN 4 THEN '{{"data":{{}}}}' END AS answer,
+          concat('{{"data":{{"validating_roas":[', CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat('{{"origin":"', 1000 + c_nationkey % 5, '","prefix":"x","max_length":24,"validity":"', CASE WHEN c_custkey % 4 = 1 THEN 'valid' ELSE 'invalid_asn' END, '"}}') END, ']}}}}') AS roa_answer,
+          1000 + c_nationkey AS nation_as, 1000 + c_nationkey % 5 AS roa_as
+        FROM customer""",
     # Registry records: one in five networks is known to the fallback records only, one in seven to none.
     "fx_irr": f"""
         SELECT c_custkey AS record_id, {net24(_int('c_custkey/10'))} AS prefix,
@@ -112,11 +130,8 @@ SQL: dict[str, str] = {
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A given table.  One small file with one row group would keep a single core busy, so it is spread first; a table
-    of many files, which any large one is, is read as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

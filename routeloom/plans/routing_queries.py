@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import covering, rib
+from ..operators import covering, registry, rib
 from ..schemas import RIB_STATE
 from ..storage import stored
 from . import fixtures as fx
@@ -44,6 +46,12 @@ def v4_mask(value: str, plen: str) -> str:
     return f"(({value}) - ({value}) % (1::BIGINT << (32 - ({plen})::INT)))"
 
 
+def v6_high(p: str) -> str:
+    """The first 64 bits of a prefix of three groups at most."""
+    group = lambda i: f"lpad(split_part(split_part({p}, '::', 1), ':', {i}), 4, '0')"
+    return f"('0x' || {group(1)} || {group(2)} || {group(3)} || '0000')::BIGINT"
+
+
 def v4_text(value: str, plen: str) -> str:
     return (
         f"concat(({value}) // 16777216, '.', ({value}) // 65536 % 256, '.', ({value}) // 256 % 256, '.', ({value}) % 256, "
@@ -221,7 +229,7 @@ def update_log(spark: SparkSession, sf: str) -> DataFrame:
 def update_range_filter(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda t: F.lit(t).cast("timestamp_ntz")
     rows = rib.updates_in_range(
-        fx.load(spark, sf, "fx_updates"), at("2024-01-02"), at("2024-01-20"), ["rrc00", "rrc02"], asn="1003", longest=None
+        fx.load(spark, sf, "fx_updates"), at("2024-01-02"), at("2024-01-20"), ["rrc00", "rrc02"], asn="1003"
     )
     return rows.select("seq", "ts", "collector", "prefix", "update_type", "as_path", "origin_text")
 
@@ -234,7 +242,7 @@ def update_range_filter(spark: SparkSession, sf: str) -> DataFrame:
 )
 def update_range_one_hour(spark: SparkSession, sf: str) -> DataFrame:
     at = lambda t: F.lit(t).cast("timestamp_ntz")
-    rows = rib.updates_in_range(fx.load(spark, sf, "fx_updates"), at("2024-01-02"), at("2024-01-20"))
+    rows = rib.updates_in_range(fx.load(spark, sf, "fx_updates"), at("2024-01-02"), at("2024-01-20"), longest=timedelta(hours=1))
     return rows.select("seq", "ts", "prefix", "update_type")
 
 
@@ -367,25 +375,71 @@ def routes_by_origin(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "origin_validation",
-    fx.cte("fx_rib", "fx_updates", "fx_vrp") + f""",
+    fx.cte("fx_rib", "fx_updates", "fx_vrp", "fx_vrp6") + f""",
     routes AS (
       SELECT DISTINCT prefix, nums[-1]::BIGINT AS origin_as, contains(toks[-1], '{{') AS is_set FROM (
         SELECT prefix, {numbers('as_path')} AS nums, {tokens('as_path')} AS toks FROM fx_rib
-        UNION ALL SELECT prefix, {numbers('as_path')}, {tokens('as_path')} FROM fx_updates WHERE update_type = 'A' AND NOT contains(prefix, ':'))
+        UNION ALL SELECT prefix, {numbers('as_path')}, {tokens('as_path')} FROM fx_updates WHERE update_type = 'A')
       WHERE len(nums) > 0),
-    r AS (SELECT *, {v4_value("split_part(prefix, '/', 1)")} AS v, split_part(prefix, '/', 2)::INT AS plen FROM routes),
-    w AS (SELECT max_length, asn, {v4_value("split_part(prefix, '/', 1)")} AS wv, split_part(prefix, '/', 2)::INT AS wlen FROM fx_vrp),
-    wn AS (SELECT {v4_mask('wv', 'wlen')} AS net, wlen, max_length, asn FROM w)
+    r AS (
+      SELECT *, 32 AS bits, {v4_value("split_part(prefix, '/', 1)")} AS v, split_part(prefix, '/', 2)::INT AS plen FROM routes WHERE NOT contains(prefix, ':')
+      UNION ALL SELECT *, 64, {v6_high('prefix')}, split_part(prefix, '/', 2)::INT FROM routes WHERE contains(prefix, ':')),
+    w AS (SELECT max_length, asn, 32 AS bits, {v4_value("split_part(prefix, '/', 1)")} AS wv, split_part(prefix, '/', 2)::INT AS wlen FROM fx_vrp
+          UNION ALL SELECT max_length, asn, 64, {v6_high('prefix')}, split_part(prefix, '/', 2)::INT FROM fx_vrp6),
+    wn AS (SELECT bits, wv >> (bits - wlen) AS net, wlen, coalesce(max_length, wlen) AS max_length, asn FROM w)
     SELECT r.prefix, r.origin_as, r.is_set AS origin_is_none, count(wn.net) AS covering_vrps,
       CASE WHEN coalesce(bool_or(NOT r.is_set AND wn.asn = r.origin_as AND wn.asn > 0 AND r.plen <= wn.max_length), false) THEN 'valid'
            WHEN count(wn.net) > 0 THEN 'invalid' ELSE 'not-found' END AS rpki_status
-    FROM r LEFT JOIN wn ON r.plen >= wn.wlen AND r.v BETWEEN wn.net AND wn.net + (1::BIGINT << (32 - wn.wlen)) - 1
+    FROM r LEFT JOIN wn ON r.bits = wn.bits AND r.plen >= wn.wlen AND r.v >> (r.bits - wn.wlen) = wn.net
     GROUP BY ALL""",
 )
 def origin_validation(spark: SparkSession, sf: str) -> DataFrame:
-    seen = fx.load(spark, sf, "fx_updates").where("update_type = 'A' AND instr(prefix, ':') = 0").select("prefix", "as_path")
+    seen = fx.load(spark, sf, "fx_updates").where("update_type = 'A'").select("prefix", "as_path")
     rows = fx.load(spark, sf, "fx_rib").select("prefix", "as_path").unionByName(seen).distinct()
     routes = rows.select(
         "prefix", paths.path_origin("as_path").alias("origin_as"), paths.origin_is_set("as_path").alias("origin_is_set")
     ).where("origin_as IS NOT NULL")
-    return covering.validate_origins(routes, fx.load(spark, sf, "fx_vrp"))
+    vrps = fx.load(spark, sf, "fx_vrp").unionByName(fx.load(spark, sf, "fx_vrp6"))
+    return covering.validate_origins(routes, vrps)
+
+
+# -- registry answers, rejected rows --------------------------------------------------------------------------
+
+
+@register(
+    "irr_answers",
+    fx.cte("fx_answers") + """
+    SELECT prefix, CASE WHEN cust % 6 IN (1, 3) THEN nation_as::VARCHAR ELSE '' END AS irr_origins,
+      CASE WHEN cust % 6 = 1 THEN 'RIPE' ELSE '' END AS authorities,
+      CASE WHEN cust % 6 IN (0, 5) THEN 'error' WHEN cust % 6 IN (1, 3) THEN 'success' ELSE 'not-found' END AS status FROM fx_answers""",
+)
+def irr_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """IRR answers as landed JSON: no JSON, NULL records, empty lists, fallback records."""
+    found = registry.irr_origins(registry.irr_items(fx.load(spark, sf, "fx_answers").select("prefix", "answer")))
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("prefix", text("irr_origins"), text("authorities"), "status")
+
+
+@register(
+    "roa_answers",
+    fx.cte("fx_answers") + """
+    SELECT prefix, roa_as AS origin_as, CASE cust % 4 WHEN 0 THEN 'not-found' WHEN 1 THEN 'valid' ELSE 'invalid' END AS rpki_status,
+      (cust % 4 <> 0)::INT::BIGINT AS covering_roas FROM fx_answers""",
+)
+def roa_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """RPKI answers as landed JSON, some without authorizations."""
+    answers = fx.load(spark, sf, "fx_answers")
+    roas = registry.roa_rows(answers.select("prefix", F.col("roa_answer").alias("answer")))
+    return registry.roa_status(answers.select("prefix", F.col("roa_as").alias("origin_as")), roas)
+
+
+@register(
+    "rejected_rows",
+    fx.cte("fx_updates") + f"""
+    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN update_type NOT IN ('A', 'W') THEN 'type'
+        WHEN update_type = 'A' AND NOT {strict("coalesce(as_path, '')")} THEN 'path' END AS reason FROM fx_updates)
+    WHERE reason IS NOT NULL GROUP BY reason""",
+)
+def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """How many updates change nothing, and why."""
+    return rib.rejected_updates(fx.load(spark, sf, "fx_updates"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import new_folder
 from ..streaming import feeds
 from . import fixtures as fx
 from .registry import register
@@ -22,7 +20,7 @@ def _updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _run(spark: SparkSession, result: DataFrame) -> DataFrame:

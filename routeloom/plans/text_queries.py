@@ -117,6 +117,19 @@ def merge_extractions(spark: SparkSession, sf: str) -> DataFrame:
     return joined_lists(merged, "qid")
 
 
+@register(
+    "merge_llm_primary",
+    fx.cte("fx_questions", "fx_truth") + "," + entities_sql("fx_questions", "question", "qid") + "," + MODEL_SQL + """
+    SELECT qid, array_to_string(CASE WHEN m.qid IS NOT NULL AND qid % 3 <> 0 THEN m.asns ELSE e.asns END, ',') AS asns,
+      array_to_string(CASE WHEN m.qid IS NOT NULL AND qid % 3 <> 0 THEN [] ELSE e.keywords END, ',') AS keywords
+    FROM ents e LEFT JOIN model m USING (qid)""",
+)
+def merge_llm_primary(spark: SparkSession, sf: str) -> DataFrame:
+    """The model answers two questions of three; the pattern's lists stand in for the rest."""
+    merged = entities.merge_extractions(questions(spark, sf), model_extraction(spark, sf).where("qid % 3 <> 0"))
+    return joined_lists(merged, "qid").select("qid", "asns", "keywords")
+
+
 NORMAL_FORM_SQL = """CASE WHEN value IS NULL OR value = '' THEN NULL ELSE nullif(CASE entity_type
    WHEN 'asns' THEN regexp_replace(value, '[^0-9]', '', 'g')
    WHEN 'prefixes' THEN CASE WHEN NOT contains(value, '/') OR contains(value, ':') THEN value

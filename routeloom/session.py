@@ -1,9 +1,15 @@
-"""A local session for tests and the bench.  On a cluster the caller brings the session; nothing here is needed."""
+"""A local session for tests and the bench, and the package on the workers of any session."""
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(name: str, cpus: int = 8, partitions: int | None = None) -> SparkSession:
     return (
@@ -15,6 +21,16 @@ def local_session(name: str, cpus: int = 8, partitions: int | None = None) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.driver.extraJavaOptions", "-Xss8m")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application; not needed where it is installed there."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='ship-')}/routeloom", "zip", root, "routeloom")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)

@@ -79,10 +79,12 @@ def registry_answers(spark: SparkSession, path: str) -> DataFrame:
 def stored_state(
     spark: SparkSession, folder: str, schema: str = schemas.RIB_STATE, before: int | None = None
 ) -> DataFrame:
-    """The newest version of a state (older than ``before``); an empty one when there is none or it cannot be read."""
+    """The newest version of a state (older than ``before``); an empty one when there is none yet.  Other faults are raised."""
     try:
         versions = spark.read.schema(schema + ", version bigint").parquet(folder)
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     if before is not None:
         versions = versions.where(F.col("version") < before)

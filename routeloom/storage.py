@@ -1,18 +1,21 @@
 """Intermediate tables that are read more than once, written where every executor can reach them.
 
 A written table cuts the lineage, survives the loss of executors, and keeps column pruning and a known size for the
-reads that follow, which a plan that is planned twice, or a cached block, does not.
+reads that follow, which a plan that is planned twice, or a cached block, does not.  All tables of an application are in
+one folder, which goes when the program ends with the session still open, or at ``release``.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-
 _LOCAL: dict[str, str] = {}
+_OWNED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,9 +31,37 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[application]
 
 
-def stored(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession, name: str = "table") -> str:
+    """A path for a table of this application, nothing there yet."""
+    own = f"{shared_folder(spark)}/routeloom-{spark.sparkContext.applicationId}"
+    if not _OWNED:
+        atexit.register(_release_open)
+    _OWNED.add(own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """``df`` written once as Parquet and read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/routeloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(df.sparkSession, name)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes the tables of this application; results that read them are void from then on."""
+    own = f"{shared_folder(spark)}/routeloom-{spark.sparkContext.applicationId}"
+    if own in _OWNED:
+        _remove(spark.sparkContext, own)
+        _OWNED.discard(own)
+
+
+def _remove(context: SparkContext, folder: str) -> None:
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _release_open() -> None:
+    context = SparkContext._active_spark_context
+    for folder in list(_OWNED):
+        if context is not None and context._jsc is not None and folder.endswith(f"-{context.applicationId}"):
+            _remove(context, folder)

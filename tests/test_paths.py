@@ -30,11 +30,6 @@ def test_path_parsing(spark):
         assert (r.norm, r.origin, r.strict, r.raw, r.is_set) == CASES[r.i][1:], CASES[r.i]
 
 
-def test_effective_origin(spark):
-    df = spark.createDataFrame([("5", "1 2"), ("", "1 2"), (None, "1 2"), ("x", "1 2")], "o string, p string")
-    assert [r[0] for r in df.select(paths.effective_origin("o", "p")).collect()] == [5, 2, 2, None]
-
-
 def test_communities(spark):
     df = spark.createDataFrame(
         [([(65000, 1), (None, 2), (3, None)],), ([],), (None,)], "c array<struct<asn:bigint,value:bigint>>"
@@ -63,3 +58,16 @@ def test_times(spark):
         paths.epoch_timestamp("s").cast("string"),
     ).first()
     assert tuple(r) == ("2025-05-04 08:00:00", None, None, "1970-01-01 00:01:00")
+
+
+def test_long_paths_on_a_default_stack(spark):
+    long = " ".join(str(i) for i in range(100_000))
+    df = spark.createDataFrame([(long,), (long + " {1,2}",), ("1 " * 9,)], "p string")
+    assert [r[0] for r in df.select(paths.is_strict("p")).collect()] == [True, False, True]
+    assert [r[0] for r in df.select(paths.has_numbers("p")).collect()] == [True, True, True]
+
+
+def test_communities_given_as_text(spark):
+    df = spark.createDataFrame([("1:2 3:4", ["1:2", "3:4"]), ("", []), (None, None)], "t string, i array<string>")
+    assert [r[0] for r in df.select(paths.communities_text("t", "text")).collect()] == ["1:2 3:4", None, None]
+    assert [r[0] for r in df.select(paths.communities_text("i", "items")).collect()] == ["1:2 3:4", None, None]
