@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..storage import shared_folder
+from ..storage import stored
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -21,9 +20,7 @@ ROWS = 1000
 
 def kept(df: DataFrame, name: str = "llm") -> DataFrame:
     """``df`` written once to the shared folder and read back: it cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, name, compression="zstd")
 
 
 def text_of(name: str = "text") -> Column:
@@ -55,10 +52,14 @@ def keyed(df: DataFrame, sha: Column | None = None) -> DataFrame:
     return df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__null": F.col("doc_id").isNull(), "__sha": sha})
 
 
-def only(docs: DataFrame, staying: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id and text are in ``staying`` (doc_id, text_sha256), of repeated ones one."""
+def only(docs: DataFrame, staying: DataFrame, repeats: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are in ``staying`` (doc_id, text_sha256); of repeated rows one unless asked for all.
+
+    Names that begin with two underscores are reserved.
+    """
     stay = keyed(staying, F.col("text_sha256")).select(ROW_KEYS)
-    return keyed(docs).join(stay, ROW_KEYS, "left_semi").dropDuplicates(ROW_KEYS).drop(*ROW_KEYS)
+    found = keyed(docs).join(stay, ROW_KEYS, "left_semi")
+    return (found if repeats else found.dropDuplicates(ROW_KEYS)).select(docs.columns)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
