@@ -118,7 +118,10 @@ def analyze_routes(observed: DataFrame, roas: DataFrame, irr: DataFrame, flaps:
     else:
         key = "history_prefix" if "history_prefix" in observed.columns else "prefix"
         flaps = flaps.withColumnRenamed("severity", "flap_severity").select(F.col("prefix").alias("_p"), *FLAP_COLUMNS)
-        joined = joined.join(flaps, F.col(key) == F.col("_p"), "left").drop("_p")
+        # rows without a history match nothing; a key of their own each keeps them from one task
+        none = F.concat(F.lit("-"), F.xxhash64("prefix", "origin_as").cast("string"))
+        joined = joined.withColumn("_key", F.coalesce(key, none))
+        joined = joined.join(flaps, F.col("_key") == F.col("_p"), "left").drop("_p", "_key")
     return score_discrepancies(joined)
 
 

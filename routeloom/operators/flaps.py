@@ -4,9 +4,11 @@ A prefix may hold a large share of all updates, so its rows are never brought to
 
 * the latest time per prefix is a map-side combined aggregate;
 * a bounded filter (latest time per hash slot, ``SLOTS`` rows whatever the data) is broadcast and drops old rows before
-  anything is shuffled; the exact join on the prefix follows on what is left;
-* rows are windowed per (prefix, time bucket), each bucket is reduced to one summary row, and only the summaries, at
-  most window / bucket of them per prefix, are put in order per prefix to join the ends of neighbouring buckets.
+  anything is shuffled;
+* what is left is reduced to its distinct (prefix, time bucket), which meet the latest time of their prefix; the rows
+  then meet their bucket, so that join and window share one exchange and a hot prefix is spread over its buckets;
+* each bucket is reduced to one summary row, and only the summaries, at most window / bucket of them per prefix, are put
+  in order per prefix to join the ends of neighbouring buckets.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def _micros(seconds: float) -> int:
 
 
 def trailing_window(updates: DataFrame, minutes: float = 5, time: str = "ts") -> DataFrame:
-    """Updates no older than ``minutes`` before the latest one of their prefix; adds ``_us`` and ``_total``."""
+    """Updates no older than ``minutes`` before the latest one of their prefix; adds ``_us``, ``_bucket`` and ``_total``."""
     width = _micros(minutes * 60)
     rows = updates.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
     # one row per prefix, read by both joins below, so that the log is scanned twice and not three times
@@ -41,13 +43,14 @@ def trailing_window(updates: DataFrame, minutes: float = 5, time: str = "ts") ->
         .where(F.col("_us") >= F.col("_floor") - width)
         .drop("_slot", "_floor")
     )
-    return near.join(latest, "prefix").where(F.col("_us") >= F.col("_latest") - width)
+    step = max(width // BUCKETS_PER_WINDOW, 1)
+    near = stored(near.withColumn("_bucket", F.col("_us") - F.pmod("_us", F.lit(step))))
+    buckets = near.select("prefix", "_bucket").distinct().join(latest, "prefix").where(F.col("_bucket") + step > F.col("_latest") - width)
+    return near.join(buckets, ["prefix", "_bucket"]).where(F.col("_us") >= F.col("_latest") - width)
 
 
-def _bucketed(rows: DataFrame, minutes: float) -> tuple[DataFrame, Window]:
-    width = max(_micros(minutes * 60) // BUCKETS_PER_WINDOW, 1)
-    rows = rows.withColumn("_bucket", F.col("_us") - F.pmod("_us", F.lit(width))).repartition("prefix", "_bucket")
-    return rows, Window.partitionBy("prefix", "_bucket").orderBy("_us", "seq")
+def _in_bucket():
+    return Window.partitionBy("prefix", "_bucket").orderBy("_us", "seq")
 
 
 def _neighbours(summaries: DataFrame) -> DataFrame:
@@ -60,9 +63,8 @@ def _neighbours(summaries: DataFrame) -> DataFrame:
 
 def flap_transitions(updates: DataFrame, minutes: float = 5, time: str = "ts") -> DataFrame:
     """One row per change of state inside the trailing window: ``prefix, ts, seq, transition, as_path``."""
-    window_rows = trailing_window(updates, minutes, time).select("prefix", "_us", "seq", "update_type", "as_path")
-    rows, order = _bucketed(window_rows, minutes)
-    seen = rows.withColumn("_prev", F.lag("update_type").over(order))
+    rows = trailing_window(updates, minutes, time).select("prefix", "_bucket", "_us", "seq", "update_type", "as_path")
+    seen = rows.withColumn("_prev", F.lag("update_type").over(_in_bucket()))
     inside = seen.where(F.col("_prev").isNotNull() & (F.col("_prev") != F.col("update_type"))).select(
         "prefix", "_us", "seq", "as_path", F.concat("_prev", F.lit("->"), "update_type").alias("transition")
     )
@@ -84,10 +86,9 @@ def flap_transitions(updates: DataFrame, minutes: float = 5, time: str = "ts") -
 
 def _window_counts(updates: DataFrame, minutes: float, rapid_seconds: float, time: str) -> DataFrame:
     rapid = _micros(rapid_seconds)
-    window_rows = trailing_window(updates, minutes, time).select("prefix", "_us", "seq", "update_type", "_total")
-    rows, order = _bucketed(window_rows, minutes)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    changed = F.coalesce(F.lag("update_type").over(order) != F.col("update_type"), F.lit(False))
+    rows = trailing_window(updates, minutes, time).select("prefix", "_bucket", "_us", "seq", "update_type", "_total")
+    before = _in_bucket().rowsBetween(Window.unboundedPreceding, -1)
+    changed = F.coalesce(F.lag("update_type").over(_in_bucket()) != F.col("update_type"), F.lit(False))
     stepped = rows.withColumn("_at", F.when(changed, F.col("_us")))
     stepped = stepped.withColumn("_last_at", F.last("_at", ignorenulls=True).over(before))
     key = F.struct("_us", "seq")

@@ -4,6 +4,7 @@ from . import (  # noqa: F401
     document_queries,
     heuristic_queries,
     report_queries,
+    round_trip_queries,
     routing_queries,
     stream_queries,
     text_queries,
