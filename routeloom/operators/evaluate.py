@@ -48,13 +48,9 @@ def extraction_scores(extracted: DataFrame, truth: DataFrame, key: str = "qid")
 
 
 def mean_scores(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Macro means of the scores per extractor and entity type."""
-    return scores.groupBy(*by).agg(
-        F.count("*").alias("cases"),
-        F.avg("precision").alias("precision"),
-        F.avg("recall").alias("recall"),
-        F.avg("f1").alias("f1"),
-    )
+    """Macro means of the scores per extractor and entity type; of ``seconds``, the time taken, too if it is there."""
+    means = [F.avg(c).alias(c) for c in ("precision", "recall", "f1", "seconds") if c in scores.columns]
+    return scores.groupBy(*by).agg(F.count("*").alias("cases"), *means)
 
 
 def retrieval_matches(retrieved: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:

@@ -67,18 +67,23 @@ def history_prefix(classified: DataFrame) -> DataFrame:
 def validated_questions(
     classified: DataFrame, routes: DataFrame, roas: DataFrame, irr: DataFrame, flaps: DataFrame
 ) -> DataFrame:
-    """RPKI, IRR and discrepancy results of each question that found a route."""
-    asked = first_routes(routes).join(history_prefix(classified), "qid")
-    scored = discrepancy.analyze_routes(asked, roas, irr, flaps)
+    """RPKI, IRR and discrepancy results of each question that found a route.
+
+    Each distinct route with its history is scored once, however many questions ask about it.
+    """
+    asked = first_routes(routes).join(history_prefix(classified), "qid").withColumn("_h", F.coalesce("history_prefix", F.lit("-")))
+    key = ["prefix", "origin_as", "_h"]
+    scored = discrepancy.analyze_routes(asked.select(*key, "history_prefix").distinct(), roas, irr, flaps)
     origins = registry.irr_origins(irr).withColumnRenamed("status", "irr_status")
     none = F.array().cast("array<string>")
-    return scored.join(origins, "prefix", "left").withColumns(
+    results = scored.join(origins, "prefix", "left").withColumns(
         {
             "irr_status": F.coalesce("irr_status", F.lit("not-found")),
             "irr_origins": F.coalesce("irr_origins", none),
             "authorities": F.coalesce("authorities", none),
         }
     )
+    return asked.select("qid", *key).join(results, key).drop("_h")
 
 
 # -- text -----------------------------------------------------------------------------------------------------
@@ -177,6 +182,45 @@ def context_report(
     return rows.select("qid", "entities", F.coalesce(text, F.lit(NOTHING)).alias("context"), "history_prefix")
 
 
+# The sections of a context in their order.
+SECTIONS = ["documents", "live", "history", "validation", "analysis"]
+HISTORY_HEADER = "=== HISTORICAL BGP UPDATES ==="
+
+
+def context_sections(
+    classified: DataFrame, routes: DataFrame, validated: DataFrame, documents: DataFrame, updates: DataFrame, time: str = "ts"
+) -> DataFrame:
+    """The whole context as rows ``qid, prefix, section, pos, text``: joined by line feeds in order they are the text.
+
+    Documents, live routes, validation and analysis belong to a question, of which they are one row each.  The history
+    belongs to the prefix that ``history_prefix`` gives for a question, and is one row per update, newest first by
+    ``pos``, after a header at the least ``pos``; so it may have any length.  Documents go to static questions only.
+    """
+    static = classified.where(F.array_contains("query_types", "static")).select("qid")
+    shown = document_section(documents.join(static, "qid", "left_semi"))
+    none = F.lit(None).cast("string").alias("prefix")
+    zero = F.lit(0).cast("bigint").alias("pos")
+
+    def of_question(rows: DataFrame, section: str, text: Column) -> DataFrame:
+        return rows.select("qid", none, F.lit(section).alias("section"), zero, text.alias("text"))
+
+    asked = history_prefix(classified).where("history_prefix IS NOT NULL").select(F.col("history_prefix").alias("prefix")).distinct()
+    entries = history_entries(updates.join(asked, "prefix", "left_semi"), time)
+    headers = entries.select("prefix").distinct()
+    place = -F.unix_micros(F.col(time).cast("timestamp"))
+    first = F.lit(-(2**63)).cast("bigint")
+    qid = F.lit(None).cast(classified.schema["qid"].dataType).alias("qid")
+    history = F.lit("history").alias("section")
+    return (
+        of_question(shown, "documents", F.col("documents_text"))
+        .unionByName(of_question(route_section(routes), "live", F.col("routes_text")))
+        .unionByName(of_question(validated, "validation", validation_text()))
+        .unionByName(of_question(validated, "analysis", analysis_text()))
+        .unionByName(headers.select(qid, "prefix", history, first.alias("pos"), F.lit(HISTORY_HEADER).alias("text")))
+        .unionByName(entries.select(qid, "prefix", history, place.alias("pos"), "text"))
+    )
+
+
 def _or_none(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("None"))
 

@@ -112,6 +112,10 @@ SQL: dict[str, str] = {
     "fx_incidents": f"""
         SELECT s_suppkey AS event_id, {net24('s_suppkey')} AS prefix, 1000 + s_suppkey % 5 AS hijacker_asn, 1000 + (s_suppkey + 1) % 5 AS victim_asn,
           CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_suppkey % 6 * 2 END AS confidence FROM supplier""",
+    # Two documents for each question.
+    "fx_found": """
+        SELECT o_orderkey AS qid, 1 AS rank, concat('RFC ', o_custkey % 90) AS source, concat('text ', o_orderkey % 7) AS content FROM orders
+        UNION ALL SELECT o_orderkey, 2, 'Unknown RFC', concat('more of ', o_orderkey) FROM orders""",
     # Labels of the questions; a NULL value says there is none of the type.
     "fx_truth": f"""
         SELECT o_orderkey AS qid, 'asns' AS entity_type, concat('AS', 1000 + o_orderkey % 5) AS value FROM orders

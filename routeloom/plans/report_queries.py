@@ -100,9 +100,7 @@ def question_validation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register(
-    "context_report",
-    REPORT_SQL + """,
+CONTEXT_SQL = """,
  rtext AS (SELECT qid, concat('=== CURRENT BGP STATE ===', chr(10), string_agg(concat(
      CASE WHEN kind = 0 THEN concat('Exact Match for Prefix: ', asked)
           ELSE concat('Longest Prefix Match for IP: ', asked, chr(10), 'Matching Prefix: ', matching_prefix) END,
@@ -115,7 +113,11 @@ def question_validation(spark: SparkSession, sf: str) -> DataFrame:
      CASE WHEN recommendations <> '' THEN concat('Recommendations:', chr(10), '- ', replace(recommendations, '|', chr(10) || '- ')) END,
      CASE WHEN flap_detected IS NOT NULL THEN concat('Route Flapping Detected: ', CASE WHEN flap_detected THEN 'True' ELSE 'False' END) END,
      CASE WHEN flap_detected THEN concat('Transition Count: ', tc) END, CASE WHEN flap_detected THEN concat('Pattern: ', pa) END, '']
-     IF x IS NOT NULL], chr(10)) AS t FROM validated)
+     IF x IS NOT NULL], chr(10)) AS t FROM validated)"""
+
+@register(
+    "context_report",
+    REPORT_SQL + CONTEXT_SQL + """
  SELECT qid, e.entities, coalesce(nullif(concat_ws(chr(10), r.t, v.t), ''), 'No context data available.') AS context, h.history_prefix
  FROM elines e JOIN hist h USING (qid) LEFT JOIN rtext r USING (qid) LEFT JOIN vtext v USING (qid)""",
 )
@@ -123,14 +125,38 @@ def context_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.context_report(*_parts(spark, sf))
 
 
-@register(
-    "context_history",
-    fx.cte("fx_updates") + """
-    SELECT prefix, ts, seq, concat(
+HISTORY_TEXT_SQL = """concat(
       'Timestamp: ', CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END, chr(10),
       'Type: ', update_type, ' (A=Announcement, W=Withdrawal)', chr(10), 'Prefix: ', prefix, chr(10),
       'Origin AS: ', coalesce(list_filter(regexp_split_to_array(as_path, '\\s+'), lambda x: x <> '')[-1], 'None'), chr(10),
-      'AS Path: ', coalesce(as_path, 'None'), chr(10)) AS text
+      'AS Path: ', coalesce(as_path, 'None'), chr(10))"""
+
+
+@register(
+    "context_sections",
+    REPORT_SQL.replace("WITH ", f"WITH fx_found AS ({fx.SQL['fx_found']}), ", 1) + CONTEXT_SQL + f""",
+ dtext AS (SELECT qid, concat('=== RFC DOCUMENTATION ===', chr(10), string_agg(concat('Source: ', source, chr(10), 'Content: ', content, chr(10)), chr(10) ORDER BY rank)) AS t
+           FROM fx_found SEMI JOIN (SELECT qid FROM classified WHERE contains(query_types, 'static')) USING (qid) GROUP BY qid),
+ logged AS (SELECT * FROM fx_updates WHERE update_type IN ('A', 'W') AND prefix IN (SELECT history_prefix FROM hist)),
+ pieces AS (
+   SELECT qid, NULL::VARCHAR AS prefix, 'documents' AS section, 0::BIGINT AS pos, t AS text FROM dtext
+   UNION ALL SELECT qid, NULL, 'live', 0, t FROM rtext
+   UNION ALL SELECT qid, NULL, 'validation', 0, split_part(t, chr(10) || '=== HEURISTIC', 1) FROM vtext
+   UNION ALL SELECT qid, NULL, 'analysis', 0, '=== HEURISTIC' || split_part(t, chr(10) || '=== HEURISTIC', 2) FROM vtext
+   UNION ALL SELECT DISTINCT NULL::BIGINT, prefix, 'history', (-9223372036854775807 - 1)::BIGINT, '=== HISTORICAL BGP UPDATES ===' FROM logged
+   UNION ALL SELECT NULL, prefix, 'history', -epoch_us(ts), {HISTORY_TEXT_SQL} FROM logged)
+ SELECT * FROM pieces""",
+)
+def context_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """All five sections of the context, as rows."""
+    logged = rib.announced_or_withdrawn(fx.load(spark, sf, "fx_updates")).withColumn("origin_as", raw_origin("as_path"))
+    return report.context_sections(*_parts(spark, sf), fx.load(spark, sf, "fx_found"), logged)
+
+
+@register(
+    "context_history",
+    fx.cte("fx_updates") + """
+    SELECT prefix, ts, seq, """ + HISTORY_TEXT_SQL + """ AS text
     FROM fx_updates WHERE update_type IN ('A', 'W')""",
 )
 def context_history(spark: SparkSession, sf: str) -> DataFrame:

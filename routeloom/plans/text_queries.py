@@ -172,11 +172,11 @@ def extraction_case_scores(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "extraction_scores",
     SCORES_SQL + """ SELECT 'regex' AS extractor, entity_type, count(*) AS cases, round(avg(precision), 6) AS precision,
-    round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM scores GROUP BY ALL""",
+    round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(qid % 7 / 8), 6) AS seconds FROM scores GROUP BY ALL""",
 )
 def extraction_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scores = _scores(spark, sf).withColumn("extractor", F.lit("regex"))
-    rounded = {c: F.round(c, 6) for c in ("precision", "recall", "f1")}
+    scores = _scores(spark, sf).withColumns({"extractor": F.lit("regex"), "seconds": F.col("qid") % 7 / 8})
+    rounded = {c: F.round(c, 6) for c in ("precision", "recall", "f1", "seconds")}
     return evaluate.mean_scores(scores, ["extractor", "entity_type"]).withColumns(rounded)
 
 
