@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, kept, map_batches, record, text_of
-from .quality_rules import base_counts
+from .quality_rules import base_counts, some_of
 from .words import Words, repeated, words
 
 _LARGEST = 1e6  # further documents at most: sites that do not differ
@@ -70,15 +70,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fits on about ``fit_rows`` labelled documents at most, chosen by a hash of their id; conflicting labels count as bad."""
     of = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = min(1.0, fit_rows / max(1, of.count()))
-    of = of.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    of = some_of(of, fit_rows)
 
     def work(batches: Batches) -> Batches:
         for batch in batches:
             rows = features(words(batch.column(1)))
             yield record(y=batch.column(0), x=pa.array(rows.tolist(), pa.list_(pa.float64())))
 
-    labelled = docs.select("doc_id", text_of().alias("text")).join(of, "doc_id").select(F.col("quality").cast("double").alias("y"), "text")
+    labelled = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(of), "doc_id").select(F.col("quality").cast("double").alias("y"), "text")
     rows = map_batches(labelled, work, "y double, x array<double>").toArrow()  # fit_rows rows of ten numbers
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(_NAMES))
     return fit(x, rows["y"].to_numpy().astype(float))

@@ -1,7 +1,7 @@
 """Quality rules: counts of words, symbols and repetition, and a log-likelihood ratio of hashed n-grams.
 
 Words and word pairs are hashed into ``buckets``.  Two multinomials over the buckets are counted: one over all
-documents, one over the trusted ones; a bucket's ratio is drawn to the overall one by ``prior`` pseudo-counts, so rare
+documents, one over about ``fit_rows`` trusted ones at most, chosen by a hash of their id; a bucket's ratio is drawn to the overall one by ``prior`` pseudo-counts, so rare
 words say little.  A document's score is the sum of log(trusted share / corpus share) over its words and pairs, divided
 by their number.  A document is kept if its score reaches a threshold: the one that best tells trusted documents from
 bad ones (largest difference of the two shares kept; the middle of the range of equally good ones), found from a
@@ -52,10 +52,16 @@ def judged(labels: DataFrame) -> DataFrame:
     return of.select("doc_id", (F.col("quality") == 1).alias("trusted"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held_out"))
 
 
-def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int, prior: float) -> np.ndarray:
+def some_of(labels: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows at most, by a hash of doc_id: a bound on what is fitted to, and on what is broadcast for it."""
+    share = min(1.0, most / max(1, labels.count()))
+    return labels.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int, prior: float, fit_rows: int) -> np.ndarray:
     """log(trusted share / corpus share) of each bucket.  All zero if nothing is trusted."""
-    trusted = labelled.where("trusted AND NOT held_out").select("doc_id", "trusted")
-    text = docs.select("doc_id", text_of().alias("text")).join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    trusted = some_of(labelled.where("trusted AND NOT held_out").select("doc_id", "trusted"), fit_rows)
+    text = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def work(batches: Batches) -> Batches:
         sums = np.zeros((2, buckets), np.int64)
@@ -109,7 +115,7 @@ def threshold(scores: DataFrame, labelled: DataFrame) -> float:
     return (low + high) / 2
 
 
-def rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 10.0) -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 17, prior: float = 10.0, fit_rows: int = 20_000) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept of every row.
 
     ``labels`` is (doc_id, quality, toxic).  Null text has no words and fails the base rules.  Rows are judged each by
@@ -117,7 +123,7 @@ def rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: flo
     rules decide.  No rows give no rows; other columns are ignored.
     """
     labelled = judged(labels)
-    found = kept(measured(docs, log_ratios(docs, labelled, buckets, prior)), "rules")
+    found = kept(measured(docs, log_ratios(docs, labelled, buckets, prior, fit_rows)), "rules")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     least = threshold(found.where("NOT base_failed"), labelled)

@@ -64,7 +64,7 @@ def test_score_is_the_mean_log_ratio(spark):
     docs = spark.createDataFrame([(i, "aa bb cc dd" if i % 2 else "xx yy xx yy") for i in range(40)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
     labelled = quality_rules.judged(labels)
-    ratios = quality_rules.log_ratios(docs, labelled, 1 << 18, 10.0)
+    ratios = quality_rules.log_ratios(docs, labelled, 1 << 18, 10.0, 1000)
     n = labelled.where("trusted AND NOT held_out").count()
     share = n / 40  # of the words and pairs in trusted documents, as texts are equally long
     want = math.log((n + 10 * share) / (20 + 10) / share)
