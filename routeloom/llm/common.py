@@ -58,7 +58,8 @@ def only(docs: DataFrame, staying: DataFrame, repeats: bool = False) -> DataFram
     Names that begin with two underscores are reserved.
     """
     stay = keyed(staying, F.col("text_sha256")).select(ROW_KEYS)
-    found = keyed(docs).join(stay, ROW_KEYS, "left_semi")
+    # sorted and merged whatever the sizes: neither side has a bound
+    found = keyed(docs).join(stay.hint("merge"), ROW_KEYS, "left_semi")
     return (found if repeats else found.dropDuplicates(ROW_KEYS)).select(docs.columns)
 
 

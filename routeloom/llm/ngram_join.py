@@ -213,7 +213,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
 def _with_sets(docs: DataFrame, placed: DataFrame, n: int) -> DataFrame:
     """``placed`` with the set of each text, for which the texts of candidates alone are read again."""
     wanted = keyed(placed, F.col("text_sha256")).drop("doc_id", "text_sha256")
-    texts = keyed(docs.select("doc_id", "text")).join(wanted, ROW_KEYS).dropDuplicates(["node"]).select("node", "label", "copies", "blocks", "block", "text")
+    texts = keyed(docs.select("doc_id", "text")).join(wanted.hint("merge"), ROW_KEYS).dropDuplicates(["node"]).select("node", "label", "copies", "blocks", "block", "text")
 
     def work(batches: Batches) -> Batches:
         for batch in batches:

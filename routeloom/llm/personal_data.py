@@ -192,7 +192,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in angle brackets; overlapping spans go as the first."""
     spans = find(docs).where("size(base) + size(added) > 0").groupBy("text_sha256").agg(F.first(F.array_sort(F.concat("base", "added"))).alias("__spans"))
     named = docs.withColumn("__sha", F.sha2(text_of(), 256))
-    both = named.join(spans.withColumnRenamed("text_sha256", "__sha"), "__sha", "left").drop("__sha")
+    both = named.join(spans.withColumnRenamed("text_sha256", "__sha").hint("merge"), "__sha", "left").drop("__sha")
 
     def work(batches: Batches) -> Batches:
         for batch in batches:
