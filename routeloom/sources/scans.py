@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import rib
+from .sinks import newest_version
 
 
 def rib_dump(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -79,14 +79,13 @@ def registry_answers(spark: SparkSession, path: str) -> DataFrame:
 def stored_state(
     spark: SparkSession, folder: str, schema: str = schemas.RIB_STATE, before: int | None = None
 ) -> DataFrame:
-    """The newest version of a state (older than ``before``); an empty one when there is none yet.  Other faults are raised."""
-    try:
-        versions = spark.read.schema(schema + ", version bigint").parquet(folder)
-    except AnalysisException as fault:
-        if fault.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """The newest version of a state (the version before ``before``, if given); an empty one when there is none yet.
+
+    Only the files of that version are read.
+    """
+    newest = newest_version(spark, folder)
+    if newest is not None and before is not None and newest >= before:
+        newest = before - 1 if before > 0 else None
+    if newest is None:
         return spark.createDataFrame([], schema)
-    if before is not None:
-        versions = versions.where(F.col("version") < before)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+    return spark.read.schema(schema).parquet(f"{folder}/version={newest}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, rib
@@ -12,15 +12,14 @@ def append_rib(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
-def append_updates(updates: DataFrame, path: str, files_per_day: int = 64, time: str = "timestamp") -> None:
+def append_updates(updates: DataFrame, path: str, time: str = "timestamp") -> None:
     """Append to the log, partitioned by day and clustered by prefix inside it, so a prefix is found by file statistics.
 
-    A day is spread over ``files_per_day`` tasks by prefix and time, which splits the rows of a hot prefix.
+    Adaptive execution sizes the tasks by their bytes: it joins small ones and splits a large day or a hot prefix.
     """
-    spread = F.pmod(F.xxhash64("prefix", F.date_trunc("hour", time)), F.lit(files_per_day))
     rows = rib.update_log(updates).withColumn("date", F.to_date(time))
     (
-        rows.repartition("date", spread)
+        rows.hint("rebalance", "date", "prefix")
         .sortWithinPartitions("date", "prefix", time)
         .write.mode("append")
         .partitionBy("date")
@@ -28,15 +27,32 @@ def append_updates(updates: DataFrame, path: str, files_per_day: int = 64, time:
     )
 
 
-def save_state(state: DataFrame, folder: str, version: int) -> None:
-    """Write a version of the state; writing the same version again replaces it, others stay."""
-    (
-        state.withColumn("version", F.lit(version).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("version")
-        .parquet(folder)
-    )
+def save_state(state: DataFrame, folder: str, version: int, keep: int = 3) -> None:
+    """Write a version of the state; writing the same version again replaces it.
+
+    The number of the newest version is written last, next to the versions, so readers need not look through them.
+    Versions older than the newest ``keep`` are removed then.
+    """
+    spark = state.sparkSession
+    state.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    newest = max(version, newest_version(spark, folder) or version)
+    spark.range(1).select(F.lit(newest).cast("bigint").alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/_newest")
+    path, files = _files(spark, folder)
+    for status in files.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("version=") and int(name.removeprefix("version=")) <= newest - keep:
+            files.delete(status.getPath(), True)
+
+
+def newest_version(spark: SparkSession, folder: str) -> int | None:
+    """The number that ``save_state`` wrote last; None if there is none."""
+    path, files = _files(spark, f"{folder}/_newest")
+    return spark.read.schema("version bigint").parquet(f"{folder}/_newest").first().version if files.exists(path) else None
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def write_cleaned(raw: DataFrame, path: str, **options) -> None:

@@ -15,6 +15,7 @@ from ..functions.netaddr import KEY, with_canonical_text, with_network
 from ..operators import flaps, rib
 from ..schemas import UPDATES
 from ..sources import scans, sinks
+from ..storage import stored
 
 # Last change per network, withdrawals included, so that a late update is recognized as older.
 CHANGES = (
@@ -69,26 +70,26 @@ def merge_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def log_and_apply(log_path: str, changes_path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: append the batch to the log and merge it into the stored changes.
+    """``foreachBatch`` body: append the batch to the log and merge what the log then has of it into the stored changes.
 
-    Both writes are keyed by the batch, so a batch that is run again after a failure replaces its own output.
+    Both writes are keyed by the batch, so a batch that is run again after a failure replaces its own output.  The log is
+    clustered by prefix within a day.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        try:
-            rows = rib.update_log(batch).withColumn("date", F.to_date("timestamp")).withColumn("batch", F.lit(batch_id))
-            (
-                rows.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch", "date")
-                .parquet(log_path)
-            )
-            merged = merge_changes(changes_before(spark, changes_path, batch_id), latest_changes(batch))
-            sinks.save_state(merged, changes_path, batch_id)
-        finally:
-            batch.unpersist()
+        rows = rib.update_log(batch).withColumn("date", F.to_date("timestamp")).withColumn("batch", F.lit(batch_id))
+        (
+            rows.repartitionByRange("date", "prefix")
+            .sortWithinPartitions("date", "prefix", "timestamp")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch", "date")
+            .parquet(log_path)
+        )
+        logged = spark.read.schema(rows.schema).parquet(log_path).where(F.col("batch") == batch_id)
+        merged = merge_changes(changes_before(spark, changes_path, batch_id), latest_changes(logged))
+        sinks.save_state(merged, changes_path, batch_id)
 
     return body
 
@@ -110,20 +111,52 @@ def maintain_state(
 def stream_summary(
     updates: DataFrame, width: str = "5 minutes", late: str = "5 minutes", by: list[str] | None = None, time: str = "timestamp"
 ) -> DataFrame:
-    """Counts per window and, if given, per group; distinct paths are approximate, as exact ones need all of them."""
+    """Counts per window and, if given, per group.
+
+    The state holds a row per window, group and distinct path until the watermark passes; paths are counted from these.
+    The same on a table gives all windows, as a watermark means nothing there.
+    """
     by = by or []
-    grouped = updates.withWatermark(time, late).groupBy(F.window(time, width), *by)
-    out = grouped.agg(
-        F.count("*").alias("total_updates"),
-        F.count_if(F.col("update_type") == "A").alias("announcements"),
-        F.count_if(F.col("update_type") == "W").alias("withdrawals"),
-        F.approx_count_distinct(F.nullif("as_path", F.lit(""))).alias("unique_as_paths"),
-        F.min(time).alias("start"),
-        F.max(time).alias("end"),
-        F.max_by("update_type", F.struct(F.col(time), F.col("seq"))).alias("_type"),
+    place = F.struct(F.col(time), F.col("seq"), F.col("update_type"))
+    per_path = (
+        updates.withWatermark(time, late)
+        .groupBy(F.window(time, width), *by, F.nullif("as_path", F.lit("")).alias("_path"))
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("update_type") == "A").alias("a"),
+            F.count_if(F.col("update_type") == "W").alias("w"),
+            F.min(time).alias("lo"),
+            F.max(time).alias("hi"),
+            F.max(place).alias("last"),
+        )
+    )
+    out = per_path.groupBy(F.window(F.col("window"), width).alias("window"), *by).agg(
+        F.sum("n").alias("total_updates"),
+        F.sum("a").alias("announcements"),
+        F.sum("w").alias("withdrawals"),
+        F.count("_path").alias("unique_as_paths"),
+        F.min("lo").alias("start"),
+        F.max("hi").alias("end"),
+        F.max("last").alias("_last"),
     )
-    state = F.when(F.col("_type") == "W", "withdrawn").otherwise("announced")
-    return out.withColumn("most_recent_state", state).drop("_type")
+    state = F.when(F.col("_last.update_type") == "W", "withdrawn").otherwise("announced")
+    return out.withColumn("most_recent_state", state).drop("_last")
+
+
+def completed(emitted: DataFrame, counted: DataFrame, again: Callable[[DataFrame], DataFrame], log: DataFrame, key: list[str], time: str) -> DataFrame:
+    """Windows a stream gave out, made to agree with the log.
+
+    ``counted`` has the windows (``key``, with ``lo`` and ``hi``, the bounds of the window) and their ``total_updates``
+    as the log has them.  Windows that are still open or had late rows are worked out anew by ``again`` from the log,
+    of which only the time that they span is read.
+    """
+    stale = stored(counted.join(emitted.select(*key, "total_updates"), [*key, "total_updates"], "left_anti"))
+    span = stale.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if span.lo is None:
+        return emitted
+    part = log.where((F.col(time) >= F.lit(span.lo)) & (F.col(time) < F.lit(span.hi)))
+    anew = again(part).join(stale.select(*key), key, "left_semi")
+    return emitted.join(stale.select(*key), key, "left_anti").unionByName(anew)
 
 
 def _slice_summary(events: Column, rapid: int) -> list[Column]:

@@ -50,7 +50,13 @@ def test_answers_as_json(spark):
                        "irr_records": [[{"key": "origin", "value": "1"}], [{"key": "source", "value": "R"}]], "records": []}}
     df = spark.createDataFrame([("p", json.dumps(answer)), ("q", "{}"), ("r", "broken")], "prefix string, answer string")
     assert [(r.prefix, r.pos, r.origin, r.validity) for r in registry.roa_rows(df).collect()] == [("p", 0, "AS1", "valid"), ("p", 1, "AS2", None)]
-    assert [(r.section, r.pos, r.key) for r in registry.irr_items(df).collect()] == [("irr_records", 0, "origin"), ("irr_records", 1, "source")]
+    items = {(r.prefix, r.section, r.pos, r.key) for r in registry.irr_items(df).collect()}
+    assert items == {
+        ("p", "irr_records", 0, "origin"), ("p", "irr_records", 1, "source"), ("p", "records", None, None),
+        ("q", "irr_records", None, None), ("q", "records", None, None), ("r", "error", None, None),
+    }
+    found = {r.prefix: (r.irr_origins, r.status) for r in registry.irr_origins(registry.irr_items(df)).collect()}
+    assert found == {"p": (["1"], "success"), "q": ([], "not-found"), "r": ([], "error")}
 
 
 def literal(rpki, mismatch, n, flap, rapid):

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from routeloom.operators import rib
@@ -78,12 +80,17 @@ def test_cut_off_gives_the_state_at_a_time(spark):
 def test_range_is_cut_to_an_hour_and_null_bounds_are_empty(spark):
     log = updates(spark, [(at(0), 1, "p", "A", "1 22", None), (at(3599), 2, "p", "A", "2", None), (at(3600), 3, "p", "A", "22", None)])
     seqs = lambda df: sorted(r.seq for r in df.collect())
-    assert seqs(rib.updates_in_range(log, F.lit(at(0)), F.lit(at(90000)))) == [1, 2]
-    assert seqs(rib.updates_in_range(log, F.lit(at(0)), F.lit(at(90000)), longest=None)) == [1, 2, 3]
+    assert seqs(rib.updates_in_range(log, F.lit(at(0)), F.lit(at(90000)), longest=timedelta(hours=1))) == [1, 2]
+    assert seqs(rib.updates_in_range(log, F.lit(at(0)), F.lit(at(90000)))) == [1, 2, 3]
     assert seqs(rib.updates_in_range(log, F.lit(None).cast("timestamp"), F.lit(at(9)))) == []
     assert seqs(rib.updates_in_range(log, F.lit(at(0)), F.lit(at(9000)), asn="2")) == [2]
 
 
+def test_rejected_updates_by_reason(spark):
+    log = updates(spark, [(at(0), 1, "10.0.0.0/8", "A", "1 22", None), (at(0), 2, "10.0.0.0/8", "A", "1 {2}", None), (at(0), 3, "10.0.0.0/99", "W", None, None), (at(0), 4, " ", "A", "1", None), (at(0), 5, "10.0.0.0/8", "S", "1", None), (at(0), 6, "10.0.0.0/8", "A", None, None)])
+    assert {r.reason: r.n for r in rib.rejected_updates(log).collect()} == {"path": 2, "prefix": 1, "blank prefix": 1, "type": 1}
+
+
 def test_summary_of_nothing(spark):
     row = rib.summarize_updates(updates(spark, [])).first()
     assert (row.total_updates, row.status, row.most_recent_state) == (0, "No updates found", None)
