@@ -6,10 +6,8 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,19 +160,31 @@ def chunk_documents(
 # -- vectors --------------------------------------------------------------------------------------------------
 
 
-def fit_vectorizer(chunks: DataFrame, text: str = "text", dims: int = 256) -> PipelineModel:
-    """Hashed TF-IDF of unit length.  Fitting is one pass; the model holds ``dims`` numbers, whatever the data."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
-            IDF(inputCol="_tf", outputCol="_idf"),
-            Normalizer(inputCol="_idf", outputCol="_unit"),
-        ]
-    ).fit(chunks)
+def term_slots(text: str, dims: int) -> Column:
+    """Slot of every term of a text, repeats included: runs of letters and digits, in lower case, by their MD5."""
+    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    slot = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int"), F.lit(dims))
+    return F.transform(F.coalesce(terms, F.array().cast("array<string>")), slot)
 
 
-def vectorize(rows: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``embedding``."""
-    vectors = model.transform(rows).withColumn("embedding", vector_to_array("_unit", "float32"))
-    return vectors.drop("_words", "_tf", "_idf", "_unit")
+def fit_vectorizer(chunks: DataFrame, text: str = "text", dims: int = 1024) -> np.ndarray:
+    """Inverse document frequencies of hashed terms: ``dims`` numbers, whatever the data; one pass."""
+    slots = chunks.select(F.explode(F.array_distinct(term_slots(text, dims))).alias("slot"))
+    found = slots.groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # at most ``dims`` rows
+    n = np.zeros(dims)
+    n[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return np.log((chunks.count() + 1) / (n + 1))
+
+
+def vectorize(rows: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
+    """Add ``embedding``, hashed TF-IDF of unit length; the zero vector if no term has weight."""
+
+    @F.pandas_udf("array<double>")
+    def unit(slots: pd.Series) -> pd.Series:
+        def one(own) -> np.ndarray:
+            v = np.bincount(own, minlength=len(weights)) * weights
+            return v / (np.linalg.norm(v) or 1.0)
+
+        return slots.map(one)
+
+    return rows.withColumn("embedding", unit(term_slots(text, len(weights))))

@@ -1,19 +1,25 @@
 """Exact top-k search by cosine over vector columns.
 
-Both sides are cut into blocks by a hash of their id, of a size independent of the data; a task scores one block of
+Both sides are cut into blocks by a hash of their id, of a bounded number of bytes and enough of them to keep all cores
+busy; a task scores one block of
 queries against one block of the corpus with a matrix product and gives back only the best ``k`` per query.  So no pair
 is ever a row, neither side is broadcast, and copies of one vector spread over all blocks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .documents import document_label
 
+#: Bytes of the vectors of a block at most.
+BLOCK_BYTES = 64 << 20
+
 SCALE = 1_000_000  # scores are compared at six digits, ties go to the smaller id
 
 
@@ -55,8 +61,12 @@ def top_k(
     queries = queries.where("embedding IS NOT NULL").select("qid", F.col("embedding").alias("v"))
     corpus = corpus.where("embedding IS NOT NULL").select("id", F.col("embedding").alias("v"))
 
-    def blocks(side: DataFrame, size: int):
-        return side.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int")).scalar()
+    few = math.ceil(math.sqrt(queries.sparkSession.sparkContext.defaultParallelism))
+
+    def blocks(side: DataFrame, size: int) -> Column:
+        row = side.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+        size = max(1, min(size, BLOCK_BYTES // (8 * (row.width or 1))))
+        return F.lit(max(1, -(-row.n // size), min(few, row.n)))
 
     nq, nc = blocks(queries, query_block), blocks(corpus, corpus_block)
     numbered = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

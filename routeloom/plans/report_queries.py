@@ -9,7 +9,7 @@ from ..functions.paths import raw_origin
 from ..operators import entities, flaps, report, rib
 from ..storage import stored
 from . import fixtures as fx
-from .document_queries import chunk_search
+from .document_queries import SEARCH_SQL, _found
 from .heuristic_queries import FLAP_SQL, FLAPS, IRR_SQL, ROA_SQL, SCORE_SQL, irr_items
 from .registry import register
 from .routing_queries import REPLAY_SQL, SNAPSHOT_SQL, current_state, tokens, v4_text, v4_value
@@ -164,7 +164,11 @@ def context_history(spark: SparkSession, sf: str) -> DataFrame:
     return report.history_entries(logged.withColumn("origin_as", raw_origin("as_path")))
 
 
-@register("context_documents")
+@register(
+    "context_documents",
+    SEARCH_SQL + """ SELECT qid, concat('=== RFC DOCUMENTATION ===', chr(10), string_agg(concat('Source: ', source, chr(10), 'Content: ', content, chr(10)), chr(10) ORDER BY rank)) AS documents_text
+    FROM shaped GROUP BY qid""",
+)
 def context_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Document section of the context of every user turn; no SQL, for the reason of ``chunk_search``."""
-    return report.document_section(chunk_search(spark, sf))
+    """Document section of the context of every user turn."""
+    return report.document_section(_found(spark, sf))

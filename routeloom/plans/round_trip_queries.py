@@ -129,7 +129,7 @@ def corpus_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Raw documents cleaned, stored, chunked, vectorized and stored; the stored chunks."""
     folder = new_folder(spark, "corpus")
     sinks.build_corpus(fx.load(spark, sf, "fx_docs").select("source", "text"), f"{folder}/cleaned", f"{folder}/vectors", skip_lines=SKIP_LINES)
-    stored = spark.read.schema("source string, chunk_no int, text string, embedding array<float>").parquet(f"{folder}/vectors")
+    stored = spark.read.schema("source string, chunk_no int, text string, embedding array<double>").parquet(f"{folder}/vectors")
     return stored.where("size(embedding) > 0").select("source", F.col("chunk_no").cast("bigint").alias("chunk_no"), "text")
 
 

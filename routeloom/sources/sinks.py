@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, rib
+from ..storage import stored
 
 
 def append_rib(entries: DataFrame, path: str) -> None:
@@ -61,9 +62,9 @@ def write_cleaned(raw: DataFrame, path: str, **options) -> None:
     cleaned.write.mode("overwrite").parquet(path)
 
 
-def write_vectors(cleaned: DataFrame, path: str, dims: int = 256) -> bool:
+def write_vectors(cleaned: DataFrame, path: str, dims: int = 1024) -> bool:
     """Chunk, vectorize and store documents ``source, text``; without chunks nothing is written."""
-    chunks = documents.chunk_documents(cleaned)
+    chunks = stored(documents.chunk_documents(cleaned))
     if chunks.isEmpty():
         return False
     vectors = documents.vectorize(chunks, documents.fit_vectorizer(chunks, dims=dims))
