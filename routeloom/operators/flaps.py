@@ -21,6 +21,7 @@ from ..storage import stored
 SLOTS = 1 << 18
 BUCKETS_PER_WINDOW = 256
 
+# The sentences of a verdict, here and in ``_pattern``.
 TOO_FEW = "Insufficient updates to analyze for route flaps."
 TOO_FEW_IN_WINDOW = "Insufficient updates in the analyzed time window."
 

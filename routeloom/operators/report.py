@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from . import covering, discrepancy, entities, registry
 
+# The headers and labels of the text, here and below.
 NOTHING = "No context data available."
 
 

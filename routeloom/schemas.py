@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The columns of the tables.
 _COMMUNITY = "array<struct<asn:bigint,value:bigint>>"
 
 

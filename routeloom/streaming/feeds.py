@@ -170,10 +170,10 @@ def _slice_summary(events: Column, rapid: int) -> list[Column]:
         F.try_element_at(events, F.lit(-1))["us"].alias("hi"),
         F.get(events, F.lit(0))["update_type"].alias("first_type"),
         F.try_element_at(events, F.lit(-1))["update_type"].alias("last_type"),
-        F.size(events).alias("n"),
-        F.size(F.filter(events, lambda x: x["update_type"] == "A")).alias("a"),
-        F.size(at).alias("transitions"),
-        F.size(close).alias("rapid"),
+        F.size(events).cast("bigint").alias("n"),
+        F.size(F.filter(events, lambda x: x["update_type"] == "A")).cast("bigint").alias("a"),
+        F.size(at).cast("bigint").alias("transitions"),
+        F.size(close).cast("bigint").alias("rapid"),
         F.get(at, F.lit(0)).alias("first_at"),
         F.try_element_at(at, F.lit(-1)).alias("last_at"),
     ]
@@ -184,6 +184,7 @@ def stream_flaps(
     window: str = "5 minutes",
     step: str = "1 minute",
     slice: str = "1 second",
+    moment: str = "100 milliseconds",
     late: str = "5 minutes",
     least: int = 4,
     rapid_seconds: int = 60,
@@ -194,32 +195,32 @@ def stream_flaps(
     The windows are fixed to the clock, while ``operators.flaps`` takes the window that ends at the latest update of each
     prefix: a burst over a window border counts in both windows here.
 
-    Updates are first reduced per slice, so a window gathers at most window / slice small rows per prefix, however many
-    updates the prefix has.
+    Updates are reduced per moment, these per slice, and these per window, so the state gathers no more than the raw
+    updates of a moment, slice / moment and window / slice small rows per prefix, however many updates the prefix has.
     """
     rapid = int(rapid_seconds * 1_000_000)
     event = F.struct(F.unix_micros(time).alias("us"), "seq", "update_type")
-    slices = (
+    moments = (
         rib.announced_or_withdrawn(updates)
         .withWatermark(time, late)
-        .groupBy(F.window(time, slice), "prefix")
+        .groupBy(F.window(time, moment), "prefix")
         .agg(F.sort_array(F.collect_list(event)).alias("events"))
-        .select("window", "prefix", *_slice_summary(F.col("events"), rapid))
+        .select("window", "prefix", F.struct(*_slice_summary(F.col("events"), rapid)).alias("s"))
     )
-    columns = ["lo", "hi", "first_type", "last_type", "n", "a", "transitions", "rapid", "first_at", "last_at"]
-    windows = (
-        slices.groupBy(F.window(F.col("window"), window, step).alias("window"), "prefix")
-        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("s"))
-        .withColumn("t", _fold(F.col("s"), rapid))
-    )
-    total = lambda c: F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: acc + x[c])
+
+    def reduced(rows: DataFrame, to: Column) -> DataFrame:
+        gathered = rows.groupBy(to.alias("window"), "prefix").agg(F.sort_array(F.collect_list("s")).alias("s"))
+        return gathered.select("window", "prefix", _merged(F.col("s"), rapid).alias("s"))
+
+    slices = reduced(moments, F.window(F.col("window"), slice))
+    windows = reduced(slices, F.window(F.col("window"), window, step))
     found = windows.select(
         F.col("window.start").alias("window_start"),
         "prefix",
-        total("n").alias("total_updates"),
-        total("a").alias("announcements"),
-        (total("transitions") + F.col("t.heads")).alias("transition_count"),
-        (total("rapid") + F.col("t.rapid")).alias("rapid_transitions"),
+        F.col("s.n").alias("total_updates"),
+        F.col("s.a").alias("announcements"),
+        F.col("s.transitions").alias("transition_count"),
+        F.col("s.rapid").alias("rapid_transitions"),
     )
     enough = (F.col("total_updates") >= 3) & (F.col("transition_count") >= least)
     level = flaps.flap_severity(F.col("transition_count"), F.col("rapid_transitions"), least)
@@ -233,25 +234,25 @@ def stream_flaps(
     )
 
 
-def _fold(slices: Column, rapid: int) -> Column:
-    """Transitions and rapid pairs that cross from one slice to the next."""
-    start = F.struct(
-        F.lit(None).cast("string").alias("type"),
-        F.lit(None).cast("bigint").alias("at"),
-        F.lit(0).cast("bigint").alias("heads"),
-        F.lit(0).cast("bigint").alias("rapid"),
-    )
+def _merged(parts: Column, rapid: int) -> Column:
+    """One summary of consecutive ones, with the transitions and rapid pairs that cross from one to the next."""
 
     def step(acc: Column, x: Column) -> Column:
-        head = acc["type"].isNotNull() & (acc["type"] != x["first_type"])
+        head = acc["last_type"] != x["first_type"]
         head_at = F.when(head, x["lo"])
         one = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
-        crossing = one(x["first_at"] - head_at <= rapid) + one(F.coalesce(head_at, x["first_at"]) - acc["at"] <= rapid)
+        crossing = one(x["first_at"] - head_at <= rapid) + one(F.coalesce(head_at, x["first_at"]) - acc["last_at"] <= rapid)
         return F.struct(
-            x["last_type"].alias("type"),
-            F.coalesce(x["last_at"], head_at, acc["at"]).alias("at"),
-            (acc["heads"] + one(head)).alias("heads"),
-            (acc["rapid"] + crossing).alias("rapid"),
+            acc["lo"].alias("lo"),
+            x["hi"].alias("hi"),
+            acc["first_type"].alias("first_type"),
+            x["last_type"].alias("last_type"),
+            (acc["n"] + x["n"]).alias("n"),
+            (acc["a"] + x["a"]).alias("a"),
+            (acc["transitions"] + x["transitions"] + one(head)).alias("transitions"),
+            (acc["rapid"] + x["rapid"] + crossing).alias("rapid"),
+            F.coalesce(acc["first_at"], head_at, x["first_at"]).alias("first_at"),
+            F.coalesce(x["last_at"], head_at, acc["last_at"]).alias("last_at"),
         )
 
-    return F.aggregate(slices, start, step)
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, F.lit(0)), step)
