@@ -90,3 +90,10 @@ def test_timings(spark):
     df = spark.createDataFrame([("total_pipeline", 4.0), ("total_pipeline", 6.0), ("x", 1.0)], "component string, seconds double")
     got = {r.component: (r.mean, round(r.std_dev, 6), r.min, r.max, r.percentage) for r in evaluate.timing_stats(df).collect()}
     assert got == {"total_pipeline": (5.0, 1.414214, 4.0, 6.0, 100.0), "x": (1.0, 0.0, 1.0, 1.0, 20.0)}
+
+
+def test_word_lists_are_the_fixed_ones():
+    assert entities.KEYWORDS == "route prefix path bgp origin as rpki roa routing announce valid invalid peer hijack".split()
+    assert entities.TIME_WORDS == "yesterday today now current hour minute week month day ago since last this recent".split()
+    assert entities.RPKI_WORDS == ["rpki", "roa", "valid"] and entities.HISTORY_WORDS == ["history", "historical"]
+    assert len(entities.STATIC_PHRASES) == 13 and "border gateway protocol" in entities.STATIC_PHRASES
