@@ -10,10 +10,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Called with each table before it is stored, for tests that look at plans.
+WATCHERS: list[Callable[[DataFrame], None]] = []
+
 _LOCAL: dict[str, str] = {}
 _OWNED: set[str] = set()
 
@@ -42,6 +46,8 @@ def new_folder(spark: SparkSession, name: str = "table") -> str:
 
 def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """``df`` written once as Parquet and read back."""
+    for watcher in WATCHERS:
+        watcher(df)
     path = new_folder(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,12 +6,13 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from routeloom import storage
 from routeloom.operators import flaps, rib
 from routeloom.plans import ORACLES, QUERIES
 from routeloom.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"chunk_documents", "similarity_topk", "retrieval_scores", "chunk_search", "context_documents"}
+PYTHON = {"corpus_round_trip", "chunk_documents", "similarity_topk", "retrieval_scores", "chunk_search", "context_documents"}
 
 
 def plan_of(df):
@@ -29,16 +30,24 @@ def test_query_agrees_with_its_oracle(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plan_shape(spark, name):
-    plan = plan_of(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-    if name not in PYTHON:
-        assert not re.search(r"Python|Pandas", plan)
-
-
-def test_every_query_but_the_hashed_ones_has_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"chunk_search", "context_documents"}
+def test_plan_shape(spark, name, monkeypatch):
+    """Of the query and of every table that it stores on the way, without broadcasts that small data invites."""
+    plans = []
+    monkeypatch.setattr(storage, "WATCHERS", [lambda df: plans.append(plan_of(df))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans.append(plan_of(QUERIES[name](spark, SF)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        assert "CartesianProduct" not in plan
+        assert "BroadcastNestedLoopJoin" not in plan
+        if name not in PYTHON:
+            assert not re.search(r"Python|Pandas", plan)
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
