@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +120,7 @@ def marked(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     marks = several.groupBy("row").agg(F.collect_list(mark).alias("marks"))  # of one text
     wanted = rows.select("row", "doc_id", "text_sha256").join(one.select("row"), "row", "left_semi").join(marks, "row")
     wanted = keyed(wanted, F.col("text_sha256")).select("row", "marks", *ROW_KEYS)
-    texts = keyed(docs.select("doc_id", "text")).join(wanted, ROW_KEYS).select("row", "text", "marks")
+    texts = keyed(docs.select("doc_id", "text")).join(wanted.hint("merge"), ROW_KEYS).select("row", "text", "marks")
 
     def work(batches: Batches) -> Batches:
         for batch in batches:
@@ -149,30 +148,30 @@ def factors(order: np.ndarray, value: np.ndarray, position: np.ndarray) -> tuple
     return earlier, later
 
 
-def strings_of(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def strings_of(contexts: pa.RecordBatch | pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of contexts (bytes, left): each string's context number, start within the context, and hash.
 
     Strings at different distances from the anchor differ, so the distance is a part of the hash.
     """
-    sizes = rows["bytes"].str.len().to_numpy()
-    data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+    raw = contexts.column("bytes").to_pylist()
+    sizes = np.array([len(x) for x in raw], np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
     begin = np.cumsum(sizes) - sizes
     count = sizes - length + 1
-    which = np.repeat(np.arange(len(rows)), count)
+    which = np.repeat(np.arange(len(raw)), count)
     at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     start = begin[which] + at
-    distance = rows["left"].to_numpy()[which] - at
+    distance = contexts.column("left").to_numpy()[which] - at
     return which, at, mixed(range_hashes(prefix_hashes(data), start, start + length) + distance.astype(np.uint64))
 
 
-def runs(which: np.ndarray, at: np.ndarray, hit: np.ndarray) -> pd.DataFrame:
+def runs(which: np.ndarray, at: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(which, low, high): maximal runs of consecutive starts that are hit."""
     w, a = which[hit], at[hit]
-    if not len(w):
-        return pd.DataFrame({"which": w, "low": a, "high": a})
-    new = np.concatenate([[True], (w[1:] != w[:-1]) | (a[1:] != a[:-1] + 1)])
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (a[1:] != a[:-1] + 1)
     first = np.flatnonzero(new)
-    return pd.DataFrame({"which": w[first], "low": a[first], "high": a[np.append(first[1:], len(w)) - 1]})
+    return w[first], a[first], a[np.append(first[1:], len(w)) - 1] if len(w) else a
 
 
 _FOUND = "row bigint, i int, low int, high int"
@@ -196,21 +195,38 @@ def repeating(marks: DataFrame, length: int) -> DataFrame:
 
     sent = kept(map_batches(marks, contexts, "row bigint, i int, short bigint, all boolean, parts int, left int, bytes binary"), "sent")
 
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row", "i"]).reset_index(drop=True)
+    def intervals(batches: Batches) -> Batches:
+        """Whole intervals of the rows so far; the last one may go on in the next batch."""
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            short, part = (rows.column(c).to_numpy() for c in ("short", "part"))
+            last = int(np.flatnonzero((short != short[-1]) | (part != part[-1])).max(initial=-1)) + 1
+            held = rows.slice(last)
+            if last:
+                yield of_intervals(rows.slice(0, last))
+        if held is not None and held.num_rows:
+            yield of_intervals(held)
+
+    def of_intervals(rows: pa.Table) -> pa.RecordBatch:
         which, at, value = strings_of(rows, length)
+        interval = rows.column("short").to_numpy().view(np.uint64) * np.uint64(0xD1342543DE82EF95) + rows.column("part").to_numpy().astype(np.uint64)
+        value = mixed(value + interval[which])
         earlier, later = factors(np.argsort(value, kind="stable"), value, np.arange(len(value)))
-        found = runs(which, at, (earlier | later) & ~rows["all"].to_numpy(bool)[which])
-        return pd.DataFrame({"row": rows["row"].to_numpy()[found["which"]], "i": rows["i"].to_numpy()[found["which"]], "low": found["low"], "high": found["high"]})
+        which, low, high = runs(which, at, (earlier | later) & ~np.array(rows.column("all").to_pylist(), bool)[which])
+        return record(row=rows.column("row").to_numpy()[which], i=rows.column("i").to_numpy()[which], low=low.astype(np.int32), high=high.astype(np.int32))
 
-    part = F.pmod(F.xxhash64("row", "i"), "parts").alias("part")
-    within = sent.withColumn("part", part).groupBy("short", "part").applyInPandas(interval, _FOUND)
+    part = F.pmod(F.xxhash64("row", "i"), "parts").cast("int")
+    ordered = sent.withColumn("part", part).repartition("short", "part").sortWithinPartitions("short", "part", "row", "i")
+    within = map_batches(ordered, intervals, _FOUND)
 
     def strings(batches: Batches) -> Batches:
         for batch in batches:
-            rows = batch.to_pandas()
-            which, at, value = strings_of(rows, length) if len(rows) else (np.zeros(0, np.int64),) * 3
-            yield record(row=rows["row"].to_numpy()[which], i=rows["i"].to_numpy()[which].astype(np.int32), at=at.astype(np.int32), short=rows["short"].to_numpy()[which], value=value.view(np.int64), n=1 + rows["all"].to_numpy(bool)[which].astype(np.int32))
+            which, at, value = strings_of(batch, length)
+            row, i, short = (batch.column(c).to_numpy()[which] for c in ("row", "i", "short"))
+            n = 1 + np.array(batch.column("all").to_pylist(), bool)[which].astype(np.int32)
+            yield record(row=row, i=i, at=at.astype(np.int32), short=short, value=value.view(np.int64), n=n)
 
     # of intervals that were cut: across the parts
     large = sent.where("parts > 1").drop("parts").select("row", "i", "short", "all", "left", "bytes")
