@@ -90,8 +90,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, least: int = 64,
 
     # fewer than ``class`` pieces of each class: at most capacity * (1 + ln capacity) rows, whatever the input
     rest = first_fit(placed.where(~whole).select("class", "task", "pos", "length").repartition(1), capacity)
-    n_full = classes.agg(F.coalesce(F.sum(full), F.lit(0)).alias("n_full"))
-    rest = placed.where(~whole).join(rest, ["class", "task", "pos"]).crossJoin(F.broadcast(n_full)).withColumn("sequence_id", F.col("n_full") + F.col("bin"))
+    n_full = classes.agg(F.coalesce(F.sum(full), F.lit(0))).scalar()
+    rest = placed.where(~whole).join(rest, ["class", "task", "pos"]).withColumn("sequence_id", n_full + F.col("bin"))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     return filled.select(*columns, "class").unionByName(rest.select(*columns, F.lit(None).cast("int").alias("class")))
 
