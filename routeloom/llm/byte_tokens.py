@@ -71,14 +71,15 @@ class Encoder:
         return array(self.code, [t.id for t in self.tokenize(written)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.rare.search(chunk):
+        if not chunk.isascii() and self.rare.search(chunk):
             return self.whole(chunk)
         if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
             return self.word(chunk)
         return b"".join(map(self.words.__getitem__, self.find(chunk)))
 
     def encode(self, text: str) -> bytes:
-        if self.odd.search(text):
+        plain = "  " not in text and " \n" not in text and text.replace("\n", " ").isprintable()
+        if not plain and self.odd.search(text):
             return self.whole(text)
         return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
 

@@ -12,7 +12,7 @@ Decoding looks each control byte up in a table of 256 layouts.
 
 from __future__ import annotations
 
-import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import shared_folder
+from ..storage import new_folder
 from .byte_tokens import encoder
 from .common import Batches, kept, map_batches, record, text_of
 
@@ -52,35 +52,44 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> DataFrame:
-    """(doc_id, n_tokens, ids): every whole text's ids, with the end id; null text is empty.  Repeated rows stay."""
+    """(doc_id, n_tokens, ids, counts): every whole text's ids, with the end id; null text is empty.  Repeated rows stay.
+
+    ``counts`` is null but in one more row of each task, which has nothing else: how often each id came, 64 bits each.
+    """
 
     def work(batches: Batches) -> Batches:
         e = encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], e.dtype).tobytes()
+        size = np.dtype(e.dtype).itemsize
+        counts = np.zeros(e.tokenizer.get_vocab_size() + 1, np.int64)
+        none = pa.array([None], pa.binary())
         for batch in batches:
-            ids = [e.encode(t.as_py()) + end for t in batch.column(1)]
-            size = np.dtype(e.dtype).itemsize
-            yield record(doc_id=batch.column(0), n_tokens=np.array([len(x) // size for x in ids], np.int64), ids=pa.array(ids, pa.binary()))
+            ids = [e.encode(t) + end for t in batch.column(1).to_pylist()]
+            raw = b"".join(ids)
+            counts += np.bincount(np.frombuffer(raw, e.dtype), minlength=len(counts))
+            first = np.cumsum([0, *map(len, ids)])
+            kept_ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(first), pa.py_buffer(raw)])
+            yield record(doc_id=batch.column(0), n_tokens=np.diff(first) // size, ids=kept_ids.cast(pa.binary()), counts=pa.nulls(len(ids), pa.binary()))
+        yield record(doc_id=pa.array([None], pa.int64()), n_tokens=pa.array([None], pa.int64()), ids=none, counts=pa.array([counts.tobytes()], pa.binary()))
 
-    return map_batches(docs.select("doc_id", text_of().alias("text")), work, "doc_id bigint, n_tokens bigint, ids binary")
+    return map_batches(docs.select("doc_id", text_of().alias("text")), work, "doc_id bigint, n_tokens bigint, ids binary, counts binary")
 
 
-def frequency_ranks(encoded: DataFrame, dtype: str) -> DataFrame:
-    """(rank, id) of the ids in use; counted per task before they are shuffled."""
+def frequency_ranks(counts: DataFrame) -> DataFrame:
+    """(rank, id) of the ids in use, from the ``counts`` of tasks."""
 
     def work(batches: Batches) -> Batches:
-        counts = np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            new = np.bincount(np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), dtype))
-            if len(new) > len(counts):
-                new, counts = counts, new
-            counts[: len(new)] += new
-        used = np.flatnonzero(counts)
-        yield record(id=used.astype(np.int64), n=counts[used])
-
-    counts = map_batches(encoded.select("ids"), work, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+            for x in batch.column(0).to_pylist():
+                own = np.frombuffer(x, np.int64)
+                total = own.copy() if not len(total) else total + own
+        used = np.flatnonzero(total)
+        yield record(id=used.astype(np.int64), n=total[used])
+
+    sums = map_batches(counts, work, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     # one row per vocabulary entry at most, so the window's single task is bounded
-    return counts.select((F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"), "id")
+    return sums.select((F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"), "id")
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) -> str:
@@ -88,7 +97,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
     spark = docs.sparkSession
     dtype = encoder(tokenizer).dtype
     encoded = kept(encode(docs, tokenizer, end_id), "ids")
-    frequency_ranks(encoded, dtype).write.parquet(f"{path}/ranks")
+    frequency_ranks(encoded.where("counts IS NOT NULL").select("counts")).write.parquet(f"{path}/ranks")
     rank_of = spark.sparkContext.broadcast(_rank_table(spark, path))
 
     def work(batches: Batches) -> Batches:
@@ -112,7 +121,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
         if ids:
             yield done()
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    documents = encoded.where("counts IS NULL").select("doc_id", "n_tokens", "ids")
+    ordered = documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     map_batches(ordered, work, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return path
 
@@ -126,10 +136,10 @@ def _rank_table(spark: SparkSession, path: str) -> np.ndarray:
     return table
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
     """(shard, block, pos, doc_id, n_tokens, within, ids): documents of a file set, ``ids`` as little-endian 32-bit numbers.
 
-    ``within`` counts the ids of the block's documents before it.
+    ``within`` counts the ids of the block's documents before it.  With ``crc``, ids_crc32 stands in place of ids.
     """
     rank_of = _rank_table(spark, path)
     used = np.flatnonzero(rank_of != 0xFFFFFFFF)
@@ -142,12 +152,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for shard, block, doc_ids, lengths, control, data in zip(*(c.to_pylist() for c in batch.columns)):
                 ends = np.cumsum(lengths, dtype=np.int64)
                 flat = ids.value[unpack(control, data, int(ends[-1]))]
-                parts = [flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), lengths)]
+                parts = [flat[e - k : e] for e, k in zip(ends.tolist(), lengths)]
+                last = {"ids_crc32": np.array([zlib.crc32(p) for p in parts], np.int64)} if crc else {"ids": pa.array([p.tobytes() for p in parts], pa.binary())}
                 n = len(doc_ids)
-                yield record(shard=np.full(n, shard, np.int32), block=np.full(n, block, np.int32), pos=np.arange(n, dtype=np.int32), doc_id=pa.array(doc_ids, pa.int64()), n_tokens=np.array(lengths, np.int64), within=ends - lengths, ids=pa.array(parts, pa.binary()))
+                yield record(shard=np.full(n, shard, np.int32), block=np.full(n, block, np.int32), pos=np.arange(n, dtype=np.int32), doc_id=pa.array(doc_ids, pa.int64()), n_tokens=np.array(lengths, np.int64), within=ends - lengths, **last)
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return map_batches(blocks, work, "shard int, block int, pos int, doc_id bigint, n_tokens bigint, within bigint, ids binary")
+    return map_batches(blocks, work, "shard int, block int, pos int, doc_id bigint, n_tokens bigint, within bigint, " + ("ids_crc32 bigint" if crc else "ids binary"))
 
 
 def block_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -167,7 +178,7 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None) -> Dat
     Long texts make a block of their own.  No rows give no rows; other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    path = path or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or new_folder(spark, "tokens")
     write(docs, tokenizer, path)
-    found = read(spark, path).select("shard", "block", "doc_id", "within", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    found = read(spark, path, crc=True)
     return found.join(block_starts(spark, path), ["shard", "block"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
