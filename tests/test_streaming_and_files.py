@@ -183,7 +183,7 @@ def test_corpus_files(spark):
     assert sorted(r.source for r in docs.collect()) == ["rfc1.txt", "rfc2.txt"]
     assert sinks.build_corpus(docs, clean, vectors)
     assert sorted((r.source, r.text) for r in spark.read.parquet(clean).collect()) == [("rfc1_clean.txt", "Abstract\ntext of one"), ("rfc2_clean.txt", "plain")]
-    assert {len(r.embedding) for r in spark.read.parquet(vectors).collect()} == {256}
+    assert {len(r.embedding) for r in spark.read.parquet(vectors).collect()} == {1024}
     assert not sinks.build_corpus(docs.limit(0), clean, vectors)
 
 
