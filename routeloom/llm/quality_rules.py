@@ -1,7 +1,7 @@
 """Quality rules: counts of words, symbols and repetition, and a log-likelihood ratio of hashed n-grams.
 
 Words and word pairs are hashed into ``buckets``.  Two multinomials over the buckets are counted: one over all
-documents, one over about ``fit_rows`` trusted ones at most, chosen by a hash of their id; a bucket's ratio is drawn to the overall one by ``prior`` pseudo-counts, so rare
+documents, one over the trusted ones; a bucket's ratio is drawn to the overall one by ``prior`` pseudo-counts, so rare
 words say little.  A document's score is the sum of log(trusted share / corpus share) over its words and pairs, divided
 by their number.  A document is kept if its score reaches a threshold: the one that best tells trusted documents from
 bad ones (largest difference of the two shares kept; the middle of the range of equally good ones), found from a
@@ -58,29 +58,35 @@ def some_of(labels: DataFrame, most: int) -> DataFrame:
     return labels.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
 
 
-def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int, prior: float, fit_rows: int) -> np.ndarray:
-    """log(trusted share / corpus share) of each bucket.  All zero if nothing is trusted."""
-    trusted = some_of(labelled.where("trusted AND NOT held_out").select("doc_id", "trusted"), fit_rows)
-    text = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(trusted), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def bucket_counts(docs: DataFrame, buckets: int) -> np.ndarray:
+    """How often each bucket occurs in the texts of ``docs``."""
 
     def work(batches: Batches) -> Batches:
-        sums = np.zeros((2, buckets), np.int64)
+        sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            w = words(batch.column(0))
-            at, bucket = _hashed(w, buckets)
-            sums[0] += np.bincount(bucket, minlength=buckets)
-            good = np.array(batch.column(1).to_pylist(), bool)
-            sums[1] += np.bincount(bucket[good[at]], minlength=buckets)
-        used = np.flatnonzero(sums[0])
-        yield record(bucket=used, corpus=sums[0][used], trusted=sums[1][used])
-
-    counts = map_batches(text, work, "bucket bigint, corpus bigint, trusted bigint").groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
-    found = counts.toArrow()  # at most ``buckets`` rows
-    corpus, good = np.zeros(buckets), np.zeros(buckets)
-    corpus[found["bucket"].to_numpy()] = found["corpus"].to_numpy()
-    good[found["bucket"].to_numpy()] = found["trusted"].to_numpy()
+            sums += np.bincount(_hashed(words(batch.column(0)), buckets)[1], minlength=buckets)
+        used = np.flatnonzero(sums)
+        yield record(bucket=used, n=sums[used])
+
+    found = map_batches(docs.select(text_of().alias("text")), work, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most ``buckets`` rows
+    out = np.zeros(buckets)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def log_ratios(docs: DataFrame, labelled: DataFrame, buckets: int, prior: float, fit_rows: int | None = None) -> np.ndarray:
+    """log(trusted share / corpus share) of each bucket.  All zero if nothing is trusted.
+
+    All trusted documents that are not held out count, or about ``fit_rows`` of them if that is given.
+    """
+    trusted = labelled.where("trusted AND NOT held_out").select("doc_id")
+    if fit_rows is not None:
+        trusted = some_of(trusted, fit_rows)
+    # sorted and merged whatever the sizes: neither side has a bound
+    good = bucket_counts(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi"), buckets)
     if not good.any():
         return np.zeros(buckets, np.float32)
+    corpus = bucket_counts(docs, buckets)
     share = good.sum() / corpus.sum()
     return np.log((good + prior * share) / (corpus + prior) / share).astype(np.float32)
 
@@ -115,7 +121,7 @@ def threshold(scores: DataFrame, labelled: DataFrame) -> float:
     return (low + high) / 2
 
 
-def rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 17, prior: float = 10.0, fit_rows: int = 20_000) -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 18, prior: float = 10.0) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept of every row.
 
     ``labels`` is (doc_id, quality, toxic).  Null text has no words and fails the base rules.  Rows are judged each by
@@ -123,7 +129,7 @@ def rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 17, prior: flo
     rules decide.  No rows give no rows; other columns are ignored.
     """
     labelled = judged(labels)
-    found = kept(measured(docs, log_ratios(docs, labelled, buckets, prior, fit_rows)), "rules")
+    found = kept(measured(docs, log_ratios(docs, labelled, buckets, prior)), "rules")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     least = threshold(found.where("NOT base_failed"), labelled)

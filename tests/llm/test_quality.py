@@ -74,6 +74,20 @@ def test_score_is_the_mean_log_ratio(spark):
     assert {r.kept for r in found.collect()} == {False}  # all too short
 
 
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than any sample of 20,000 holds; each has one word."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 3000).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 > 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    rows = [tuple(r) for r in docs.join(quality_rules.judged(labels), "doc_id").select("doc_id", "text", F.expr("trusted AND NOT held_out")).collect()]
+    bucket = quality_rules._hashed(words(pa.array([t for _, t, _ in rows])), 1 << 18)[1].tolist()
+    corpus, good = Counter(bucket), Counter(b for b, (*_, trusted) in zip(bucket, rows) if trusted)
+    share = good.total() / len(rows)
+    want = {i: math.log((good[b] + 10 * share) / (corpus[b] + 10) / share) for b, (i, *_) in zip(bucket, rows)}
+    assert good.total() > 20_000
+    got = {r.doc_id: r.score for r in quality_rules.rules(docs, labels).select("doc_id", "score").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-5) for i in want)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, None), (None, 1, 1), (5, None, 1), (77, 1, 0)], "doc_id bigint, quality int, toxic int")
     none = labels.limit(0)
