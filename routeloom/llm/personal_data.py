@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and identifiers that stand in the same contexts.
 
 The fixed patterns find spans of four kinds.  Contexts of these spans, the two words before, are the lexical patterns
-that seeds induce; whatever token with a digit or an at sign stands in such a context elsewhere is a candidate.  Spark
+that seeds induce; whatever token with a digit or an at sign stands in such a context elsewhere is a candidate.  Cards
+and phones are often written in groups, so a candidate for them runs on over the groups of digits that follow.  Spark
 scores the graph of contexts and tokens iteratively: a context is as good for a kind as the share of its occurrences
-that known or likely tokens of the kind fill; a token is as likely as its contexts together make it (noisy or).  In the
-end candidates in contexts that are good, and borne out by enough different seeds, are added as spans of the kind.
+that known or likely tokens of the kind fill; a token is as likely as its contexts together make it (noisy or).  In
+the end candidates in contexts that are good, and borne out by enough different seeds, are added as spans of the kind.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Batches, kept, map_batches, record, text_of
@@ -31,6 +32,16 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER = re.compile(r"[0-9]++")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*+")
 _EDGE = ".,;:!?()[]{}<>\"'"
+
+CARD, PHONE = KINDS.index("card"), KINDS.index("phone")
+#: Digits of a candidate for the kinds that are written in groups, at most; as in their base patterns.
+GROUPED = {CARD: 19, PHONE: 15}
+#: A token that groups of digits may follow, and one more group after what joins it to the last.
+_GROUPS = re.compile(r"(?:[^\W\d_]+[:=.])?\+?\(?[0-9][0-9().-]*")
+_MORE = {
+    CARD: re.compile(r"(?:\x20|-)([0-9]++(?:-[0-9]++)*+)(?![\w@:/%])"),
+    PHONE: re.compile(r"\)?(?:\x20-\x20|\x20\x20?|[.-])?\(?([0-9]++(?:[().-]{1,2}[0-9]++)*+)(?![\w@:/%])"),
+}
 _DIGITS = str.maketrans("123456789", "0" * 9)
 
 Span = tuple[int, int]
@@ -88,11 +99,28 @@ def context(text: str, start: int) -> str:
     return " ".join(line.lower().translate(_DIGITS).split()[-2:])
 
 
-def contexts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, str, int, int]]:
-    """(kind or -1, context, token, start, end) of the seeds, and of other tokens with a digit or an at sign."""
-    found = [(k, context(text, s), text[s:e], s, e) for k, s, e in base]
+def grouped(text: str, start: int, end: int, kind: int, stop: int) -> Span:
+    """The token from start to end with the groups of digits that follow it before ``stop``, as a number of the kind."""
+    if kind == PHONE and text[start - 1 : start] == "(" and ")" in text[start : end + 1]:
+        start -= 1
+    if _GROUPS.fullmatch(text, start, end):
+        digits = sum(map(str.isdigit, text[start:end])) if end - start <= 200 else 200
+        while (m := _MORE[kind].match(text, end, min(stop, end + 50))) and not text[m.end() : m.end() + 1].isalnum():
+            digits += sum(map(str.isdigit, m[1]))
+            if digits > GROUPED[kind]:
+                break
+            end = m.end()
+    return start, end
+
+
+def contexts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, int, int]]:
+    """(kind or -1, shape, context, token, start, end) of the seeds, and of other tokens with a digit or an at sign.
+
+    Candidates stand once for each shape: 0 for a single token, and the kinds of GROUPED for a run of groups.
+    """
+    found = [(k, k if k in GROUPED else 0, context(text, s), text[s:e], s, e) for k, s, e in base]
     covered = sorted((s, e) for _, s, e in base)
-    last, i = 0, 0
+    last, i, done = 0, 0, dict.fromkeys(GROUPED, 0)
     for m in re.finditer("[0-9@]", text):
         if m.start() < last:
             continue
@@ -107,12 +135,16 @@ def contexts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str
         while i < len(covered) and covered[i][1] <= s:
             i += 1
         if token and e - s <= 200 and not any(a < e and s < b for a, b in covered[i : i + 4]):
-            found.append((-1, context(text, s), token, s, e))
-    return [f for f in found if f[1]]
+            found.append((-1, 0, context(text, s), token, s, e))
+            for kind in GROUPED:
+                if s >= done[kind]:
+                    first, done[kind] = grouped(text, s, e, kind, covered[i][0] if i < len(covered) else len(text))
+                    found.append((-1, kind, context(text, first), text[first : done[kind]], first, done[kind]))
+    return [f for f in found if f[2]]
 
 
 _SPANS = "array<struct<kind:int,start:bigint,end:bigint>>"
-_GRAPH = "array<struct<kind:int,context:string,token:string,start:bigint,end:bigint>>"
+_GRAPH = "array<struct<kind:int,shape:int,context:string,token:string,start:bigint,end:bigint>>"
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -134,7 +166,7 @@ def scanned(docs: DataFrame) -> DataFrame:
                 doc_id=batch.column(1),
                 text_sha256=batch.column(2),
                 base=structs(base, ["kind", "start", "end"], [pa.int32(), pa.int64(), pa.int64()]),
-                graph=structs(graph, ["kind", "context", "token", "start", "end"], [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]),
+                graph=structs(graph, ["kind", "shape", "context", "token", "start", "end"], [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()]),
             )
 
     text = text_of()
@@ -142,36 +174,46 @@ def scanned(docs: DataFrame) -> DataFrame:
     return kept(map_batches(prepared, work, f"row bigint, doc_id bigint, text_sha256 string, base {_SPANS}, graph {_GRAPH}"), "spans")
 
 
+def _shape() -> Column:
+    """That of a kind's candidates."""
+    return F.when(F.col("kind").isin(*GROUPED), F.col("kind")).otherwise(0)
+
+
 def good_contexts(found: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
-    """(context, kind) whose confidence reaches ``least`` and that at least ``support`` different seed tokens bear out."""
-    edges = found.select(F.explode("graph").alias("g")).groupBy("g.context", "g.token", "g.kind").agg(F.count(F.lit(1)).alias("n"))
+    """(context, kind, shape, score) whose confidence reaches ``least`` and that at least ``support`` different seed tokens bear out."""
+    edges = found.select(F.explode("graph").alias("g")).groupBy("g.context", "g.token", "g.kind", "g.shape").agg(F.count(F.lit(1)).alias("n"))
     edges = kept(edges, "edges")
-    totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
+    shapes = F.explode(F.when(F.col("kind") >= 0, F.array(*map(F.lit, [0, *GROUPED]))).otherwise(F.array("shape")))
+    totals = edges.select("context", shapes.alias("shape"), "n").groupBy("context", "shape").agg(F.sum("n").alias("total"))
     # contexts of seeds only: others never come to a confidence in the first round, and later only through tokens
     seeds = edges.where("kind >= 0").select("context", "kind", "token", "n", F.lit(1.0).alias("score"))
-    candidates = edges.where("kind < 0").select("context", "token", "n")
+    candidates = edges.where("kind < 0").select("context", "shape", "token", "n")
     scores = seeds
     for _ in range(rounds):
         sums = scores.groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.count_if(F.col("score") == 1).alias("seeds"))
-        confidence = kept(sums.join(totals, "context").select("context", "kind", "seeds", (F.col("weight") / (F.col("total") + 1)).alias("confidence")), "contexts")
+        confidence = kept(sums.withColumn("shape", _shape()).join(totals, ["context", "shape"]).select("context", "kind", "shape", "seeds", (F.col("weight") / (F.col("total") + 1)).alias("confidence")), "contexts")
         together = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        reached = candidates.join(confidence, "context")
-        likely = reached.groupBy("token", "kind").agg((1 - together).alias("score"))
-        scores = seeds.unionByName(candidates.join(likely.where(F.col("score") >= least), "token").select("context", "kind", "token", "n", F.least(F.col("score"), F.lit(0.999)).alias("score")))
+        likely = candidates.join(confidence, ["context", "shape"]).groupBy("token", "kind", "shape").agg((1 - together).alias("score"))
+        scores = seeds.unionByName(candidates.join(likely.where(F.col("score") >= least), ["token", "shape"]).select("context", "kind", "token", "n", F.least(F.col("score"), F.lit(0.999)).alias("score")))
     best = confidence.where((F.col("confidence") >= least) & (F.col("seeds") >= support))
-    return best.groupBy("context").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    return best.groupBy("context", "shape").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("score"))
 
 
 def find(docs: DataFrame, rounds: int = 2, least: float = 0.6, support: int = 3) -> DataFrame:
     """doc_id, text_sha256, base, added (arrays of kind, start, end in code points) of every row of ``docs``.
 
     Null text is empty and has no spans.  Rows are searched each by itself, repeated ones too, but all count as evidence.
-    No rows give no rows; other columns are ignored.  ``kind`` is the place in KINDS.
+    No rows give no rows; other columns are ignored.  ``kind`` is the place in KINDS.  Of added spans within each other
+    the longest stands; of equal ones that of the better context.
     """
     found = scanned(docs)
     best = good_contexts(found, rounds, least, support)
-    free = found.select("row", F.explode("graph").alias("g")).where("g.kind < 0").select("row", "g.context", F.struct("g.start", "g.end").alias("at"))
-    added = free.join(best, "context").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "at.start", "at.end"))).alias("added"))  # of one text
+    free = found.select("row", F.explode("graph").alias("g")).where("g.kind < 0").select("row", "g.context", "g.shape", "g.start", "g.end")
+    spans = free.join(best, ["context", "shape"]).select("row", "kind", "start", "end", "score")
+    # of one text
+    before = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("score"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR end > reached")
+    added = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     return found.join(added, "row", "left").select("doc_id", "text_sha256", "base", F.coalesce("added", F.array().cast(_SPANS)).alias("added"))
 
 

@@ -77,6 +77,24 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert found[3].spans == "email:16:34"
 
 
+@pytest.mark.parametrize(
+    "before, seeds, kind, texts",
+    [
+        ("call me on", ["+44 20 7946 09%02d" % i for i in range(9)], "phone", ["555 123 4567", "(555) 123-4567", "555.123.4567", "555 (123) 4567"]),
+        ("pay with card", ["4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881"] * 4, "card", ["4111 1111 1111 1112", "4111-1111-1111-1112"]),
+    ],
+)
+def test_numbers_in_groups_are_found_whole(spark, before, seeds, kind, texts):
+    rows = [(i, f"Please {before} {x} today.") for i, x in enumerate(seeds)] + [(100 + i, f"Do {before} {x}, thanks 12 times.") for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in personal_data.report(df).collect()}
+    out = {r.doc_id: r.text for r in personal_data.redacted(df).collect()}
+    for i, x in enumerate(texts):
+        at = len(f"Do {before} ")
+        assert (found[100 + i].spans, found[100 + i].n_added) == (f"{kind}:{at}:{at + len(x)}", 1)
+        assert out[100 + i] == f"Do {before} <{kind.upper()}>, thanks 12 times."
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a b@c.de, 1.2.3.4 z", "x"), (2, None, "y"), (3, "clean", None), (4, "x 4111 1111 1111 1111", "q")], "doc_id bigint, text string, base string")
     out = {r.doc_id: r for r in personal_data.redacted(df).collect()}
