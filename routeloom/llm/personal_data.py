@@ -4,8 +4,10 @@ The fixed patterns find spans of four kinds.  Contexts of these spans, the two w
 that seeds induce; whatever token with a digit or an at sign stands in such a context elsewhere is a candidate.  Cards
 and phones are often written in groups, so a candidate for them runs on over the groups of digits that follow.  Spark
 scores the graph of contexts and tokens iteratively: a context is as good for a kind as the share of its occurrences
-that known or likely tokens of the kind fill; a token is as likely as its contexts together make it (noisy or).  In
-the end candidates in contexts that are good, and borne out by enough different seeds, are added as spans of the kind.
+that known or likely tokens of the kind fill; a token is as likely as its contexts together make it (noisy or).  A
+context is borne out by enough different tokens that are seeds or that other such contexts make likely.  In the end
+candidates in contexts that are good and borne out are added as spans of the kind, and so are the other occurrences of
+tokens that such contexts make likely, if the token is long enough to tell (see TELLING).
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ _MORE = {
     CARD: re.compile(r"(?:\x20|-)([0-9]++(?:-[0-9]++)*+)(?![\w@:/%])"),
     PHONE: re.compile(r"\)?(?:\x20-\x20|\x20\x20?|[.-])?\(?([0-9]++(?:[().-]{1,2}[0-9]++)*+)(?![\w@:/%])"),
 }
+#: Spark's condition for a token that is an identifier wherever it stands: five digits, or seven letters and digits.
+TELLING = r"regexp_count(g.token, '[0-9]') >= 5 OR regexp_count(g.token, '[\\p{L}\\p{N}]') >= 7"
 _DIGITS = str.maketrans("123456789", "0" * 9)
 
 Span = tuple[int, int]
@@ -179,24 +183,39 @@ def _shape() -> Column:
     return F.when(F.col("kind").isin(*GROUPED), F.col("kind")).otherwise(0)
 
 
-def good_contexts(found: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
-    """(context, kind, shape, score) whose confidence reaches ``least`` and that at least ``support`` different seed tokens bear out."""
+def likely_tokens(candidates: DataFrame, confidence: DataFrame, support: int) -> DataFrame:
+    """(token, kind, score, borne): logarithms are of one minus a likelihood, ``borne`` is that by contexts borne out alone."""
+    doubt = F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))
+    reached = candidates.join(confidence.withColumn("shape", _shape()), ["context", "shape"])
+    return reached.groupBy("token", "kind").agg((1 - F.exp(F.sum(doubt))).alias("score"), F.sum(F.when(F.col("seeds") >= support, doubt).otherwise(0.0)).alias("borne"))
+
+
+def good(found: DataFrame, rounds: int, least: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(context, kind, shape) and (token, kind, shape) that candidates are identifiers by, see above.
+
+    A context bears a token out that it does not owe to itself, so that one seed's context can't bear itself out.
+    """
     edges = found.select(F.explode("graph").alias("g")).groupBy("g.context", "g.token", "g.kind", "g.shape").agg(F.count(F.lit(1)).alias("n"))
     edges = kept(edges, "edges")
     shapes = F.explode(F.when(F.col("kind") >= 0, F.array(*map(F.lit, [0, *GROUPED]))).otherwise(F.array("shape")))
     totals = edges.select("context", shapes.alias("shape"), "n").groupBy("context", "shape").agg(F.sum("n").alias("total"))
     # contexts of seeds only: others never come to a confidence in the first round, and later only through tokens
-    seeds = edges.where("kind >= 0").select("context", "kind", "token", "n", F.lit(1.0).alias("score"))
+    seeds = edges.where("kind >= 0").select("context", "kind", "token", "n", F.lit(1.0).alias("score"), F.lit(True).alias("bears"))
     candidates = edges.where("kind < 0").select("context", "shape", "token", "n")
     scores = seeds
     for _ in range(rounds):
-        sums = scores.groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.count_if(F.col("score") == 1).alias("seeds"))
-        confidence = kept(sums.withColumn("shape", _shape()).join(totals, ["context", "shape"]).select("context", "kind", "shape", "seeds", (F.col("weight") / (F.col("total") + 1)).alias("confidence")), "contexts")
-        together = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        likely = candidates.join(confidence, ["context", "shape"]).groupBy("token", "kind", "shape").agg((1 - together).alias("score"))
-        scores = seeds.unionByName(candidates.join(likely.where(F.col("score") >= least), ["token", "shape"]).select("context", "kind", "token", "n", F.least(F.col("score"), F.lit(0.999)).alias("score")))
+        sums = scores.groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.count_if("bears").alias("seeds"))
+        confidence = kept(sums.withColumn("shape", _shape()).join(totals, ["context", "shape"]).select("context", "kind", "seeds", (F.col("weight") / (F.col("total") + 1)).alias("confidence")), "contexts")
+        likely = kept(likely_tokens(candidates, confidence, support).where(F.col("score") >= least), "tokens")
+        own = confidence.where(F.col("seeds") >= support).select("context", "kind", F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))).alias("own"))
+        reached = candidates.join(likely.withColumn("shape", _shape()), ["token", "shape"]).join(own, ["context", "kind"], "left")
+        bears = 1 - F.exp(F.col("borne") - F.coalesce("own", F.lit(0.0))) >= least
+        scores = seeds.unionByName(reached.select("context", "kind", "token", "n", F.least(F.col("score"), F.lit(0.999)).alias("score"), bears.alias("bears")))
     best = confidence.where((F.col("confidence") >= least) & (F.col("seeds") >= support))
-    return best.groupBy("context", "shape").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("score"))
+    best = best.groupBy("context", _shape().alias("shape")).agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"), F.max("confidence").alias("score"))
+    sure = likely.where(1 - F.exp("borne") >= least)
+    sure = sure.groupBy("token", _shape().alias("shape")).agg(F.max_by("kind", F.struct(-F.col("borne"), -F.col("kind"))).alias("kind"))
+    return best, sure
 
 
 def find(docs: DataFrame, rounds: int = 2, least: float = 0.6, support: int = 3) -> DataFrame:
@@ -204,12 +223,13 @@ def find(docs: DataFrame, rounds: int = 2, least: float = 0.6, support: int = 3)
 
     Null text is empty and has no spans.  Rows are searched each by itself, repeated ones too, but all count as evidence.
     No rows give no rows; other columns are ignored.  ``kind`` is the place in KINDS.  Of added spans within each other
-    the longest stands; of equal ones that of the better context.
+    the longest stands; of equal ones that of the better context, and that of a context before that of a token.
     """
     found = scanned(docs)
-    best = good_contexts(found, rounds, least, support)
-    free = found.select("row", F.explode("graph").alias("g")).where("g.kind < 0").select("row", "g.context", "g.shape", "g.start", "g.end")
+    best, sure = good(found, rounds, least, support)
+    free = found.select("row", F.explode("graph").alias("g")).where("g.kind < 0").select("row", "g.context", "g.shape", "g.token", "g.start", "g.end", F.expr(TELLING).alias("telling"))
     spans = free.join(best, ["context", "shape"]).select("row", "kind", "start", "end", "score")
+    spans = spans.unionByName(free.where("telling").join(sure, ["token", "shape"]).select("row", "kind", "start", "end", F.lit(0.0).alias("score")))
     # of one text
     before = Window.partitionBy("row").orderBy("start", F.desc("end"), F.desc("score"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR end > reached")

@@ -95,6 +95,24 @@ def test_numbers_in_groups_are_found_whole(spark, before, seeds, kind, texts):
         assert out[100 + i] == f"Do {before} <{kind.upper()}>, thanks 12 times."
 
 
+def test_tokens_carry_evidence_to_other_contexts(spark):
+    """Seeds make names likely, these bear out a context without seeds, and it another name; each is marked anywhere."""
+    rows = [(i, f"Please write to user{i}@mail.example now.") for i in range(30)]
+    rows += [(100 + i, f"Please write to person{i}(at)mail now.") for i in range(6)]
+    rows += [(200 + i, f"My own handle is person{i}(at)mail here.") for i in range(6)]
+    rows += [(300, "My own handle is stranger77(at)mail here."), (301, "A word from stranger77(at)mail on this."), (302, "A word from person1(at)mail on this."), (303, "A word from other55(at)mail on this.")]
+    found = {r.doc_id: r for r in personal_data.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[300].spans == "email:17:35"
+    assert found[301].spans == "email:12:30" and found[302].spans == "email:12:27"
+    assert found[303].n_added == 0
+
+
+def test_a_context_does_not_bear_itself_out(spark):
+    """One seed, many times, and tokens that only its context makes likely."""
+    rows = [(i, "Build of host 10.1.2.3 is done.") for i in range(30)] + [(100 + i, f"Build of host release{i} is done.") for i in range(5)]
+    assert all(r.n_added == 0 for r in personal_data.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a b@c.de, 1.2.3.4 z", "x"), (2, None, "y"), (3, "clean", None), (4, "x 4111 1111 1111 1111", "q")], "doc_id bigint, text string, base string")
     out = {r.doc_id: r for r in personal_data.redacted(df).collect()}
