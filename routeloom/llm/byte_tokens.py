@@ -2,7 +2,8 @@
 
 The vocabulary's pre-tokenizer cuts a text into words that are encoded each by itself, so a word needs encoding once.
 Cutting before each space never splits such a word if a non-space follows the space; a text that has a space before
-other white space, or rare control characters, is encoded whole.
+other white space, or rare control characters, is encoded whole.  So is one that holds the string of an added token: that is one
+id, and cuts the text before the pre-tokenizer does.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = f"<u{array(self.code).itemsize}"
         self.tokenize = self.tokenizer.model.tokenize
@@ -81,6 +82,9 @@ class Encoder:
         plain = "  " not in text and " \n" not in text and text.replace("\n", " ").isprintable()
         if not plain and self.odd.search(text):
             return self.whole(text)
+        for token in self.added:
+            if token in text:
+                return self.whole(text)
         return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
