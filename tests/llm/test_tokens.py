@@ -18,7 +18,6 @@ from .conftest import SF
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(queries.BYTES)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
