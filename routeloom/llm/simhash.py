@@ -80,7 +80,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     its least member); the links themselves are all within the radius.
     """
     half = (radius + 1) // 2
-    distinct = fps.select("fingerprint").where("fingerprint is not null").distinct()
+    spark = fps.sparkSession
+    # spread over all shuffle partitions before the variants multiply each row 2,081 times
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fingerprint").where("fingerprint is not null").distinct().repartition(width, "fingerprint")
     variants = distinct.select("fingerprint", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(half)])).alias("mask"))
     variants = variants.select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"))
     # the least member of each bucket; one shuffle on the variant, no pairs within the bucket
