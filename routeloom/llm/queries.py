@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, exact_dedup, language_id, ngram_join, packing, personal_data, piece_codec, quality_model, quality_rules, repeated_bytes, simhash, token_files
+from . import alignment, divergence, exact_dedup, language_id, ngram_join, packing, personal_data, piece_codec, quality_model, quality_rules, repeated_bytes, simhash, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ everything AS (
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM everything)
 WHERE part = 'pair' OR rank <= 50"""
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTES, PIECES)
