@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Batches, kept, map_batches, record, utf8
+from .words import prefix_hashes, range_hashes
 
 # fixed values of the contract: terms, the letters that are lower-cased, the smoothing and the scale
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -172,20 +173,81 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+#: Bytes that belong to terms: letters of ASCII and every byte of a character outside ASCII.
+_TERM_BYTE = np.zeros(256, bool)
+_TERM_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
+#: Kept terms of a language per task of the pair part.
+BLOCK_TERMS = 4096
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, and start, end and text of every term; null is empty.
+
+    A term is a run of bytes of letters and of characters outside ASCII, which on UTF-8 is the runs of the pattern.
+    """
+    data, offsets = utf8(texts)
+    term = _TERM_BYTE[data]
+    first = np.zeros(len(data), bool)
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    last = np.zeros(len(data), bool)
+    last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
+    before = np.concatenate([[False], term[:-1]]) & ~first
+    after = np.concatenate([term[1:], [False]]) & ~last
+    starts = np.flatnonzero(term & ~before)
+    ends = np.flatnonzero(term & ~after) + 1
+    return _LOWERED[data], starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
 def terms_of(docs: DataFrame) -> DataFrame:
-    """lang, source ('' for null), and the terms of each text in order (null text: none)."""
-    text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    return docs.select(
-        F.coalesce(F.col("lang"), F.lit("")).alias("lang"),
-        F.coalesce(F.col("source"), F.lit("")).alias("source"),
-        F.regexp_extract_all(text, F.lit(TERM), 0).alias("terms"),
-    )
+    """lang, source ('' for null), text ('' for null): what the passes read."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return docs.select(blank("lang").alias("lang"), blank("source").alias("source"), blank("text").alias("text"))
+
+
+def _document_frequencies(terms: DataFrame) -> DataFrame:
+    """lang, term, docs: in how many documents of the language each term is, summed from the counts of each batch."""
+
+    def work(batches: Batches) -> Batches:
+        for batch in batches:
+            data, starts, ends, doc = tokens(batch.column("text"))
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            # one row per distinct (document, term); terms compared by their bytes, through their hashes
+            prefix = prefix_hashes(data)
+            h = range_hashes(prefix, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            length = ends - starts
+            same = bool((length == length[first][inverse]).all())
+            if same and len(starts):
+                # every occurrence against the first of its hash, byte by byte
+                step = np.repeat(starts[first][inverse] - starts, length)
+                pos = np.repeat(starts - np.cumsum(length) + length, length) + np.arange(length.sum())
+                same = bool((data[pos] == data[pos + step]).all())
+            if not same:  # two terms share a hash: by their bytes instead
+                words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+                table: dict[bytes, int] = {}
+                inverse = np.array([table.setdefault(w, len(table)) for w in words], np.int64)
+                first = np.zeros(len(table), np.int64)
+                first[inverse[::-1]] = np.arange(len(words))[::-1]
+            pairs = np.unique(doc.astype(np.int64) * (len(first) + 1) + inverse)
+            docs_of, term_of = pairs // (len(first) + 1), pairs % (len(first) + 1)
+            lang_codes, lang_of = np.unique(langs[docs_of].astype(str), return_inverse=True) if len(pairs) else (np.zeros(0, str), np.zeros(0, np.int64))
+            key, n = np.unique(lang_of.astype(np.int64) * (len(first) + 1) + term_of, return_counts=True)
+            which = first[key % (len(first) + 1)]
+            yield record(
+                lang=pa.array(lang_codes[key // (len(first) + 1)].tolist(), pa.string()),
+                term=pa.array([data[starts[i] : ends[i]].tobytes().decode() for i in which], pa.string()),
+                docs=n.astype(np.int64),
+            )
+
+    each = map_batches(terms.select("lang", "text"), work, "lang string, term string, docs bigint")
+    return each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
 
 def vocabulary(terms: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """lang, term, ordinal (from 0, UTF-8 byte order within the language): terms in at least min_docs documents."""
-    df = terms.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").count()
-    kept_terms = df.where(F.col("count") >= min_docs).select("lang", "term")
+    kept_terms = _document_frequencies(terms).where(F.col("docs") >= min_docs).select("lang", "term")
     return kept_terms.withColumn("ordinal", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("term").cast("binary"))) - 1)
 
 
@@ -199,24 +261,26 @@ def _built(vocab: DataFrame) -> DataFrame:
     return vocab.groupBy("lang").applyInPandas(build, "lang string, fst binary, n_terms bigint")
 
 
+def _joined_counts(terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The same counts by a join of every term occurrence with the vocabulary, for transducers too large to send."""
+    lowered = F.translate("text", UPPER, LOWER)
+    exploded = terms.select("lang", "source", F.explode(F.regexp_extract_all(lowered, F.lit(TERM), 0)).alias("term"))
+    return exploded.join(vocab, ["lang", "term"]).groupBy("lang", "source", "ordinal").agg(F.count(F.lit(1)).alias("count"))
+
+
 def counts(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     """lang, source, ordinal, count (> 0) of the kept terms, by streaming texts through the transducers."""
     spark = terms.sparkSession
     built = kept(_built(vocab), "transducers")
     size = built.select(F.sum(F.length("fst"))).first()[0] or 0
     if size > BROADCAST_BYTES:
-        exploded = terms.select("lang", "source", F.explode("terms").alias("term"))
-        return exploded.join(vocab, ["lang", "term"]).groupBy("lang", "source", "ordinal").agg(F.count(F.lit(1)).alias("count"))
+        return _joined_counts(terms, vocab)
     machines = spark.sparkContext.broadcast({r.lang: bytes(r.fst) for r in built.collect()})
 
     def work(batches: Batches) -> Batches:
         loaded: dict[str, dict] = {}
         for batch in batches:
-            lists = batch.column("terms")
-            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = pa.concat_arrays([x.flatten() for x in lists.chunks]) if isinstance(lists, pa.ChunkedArray) else lists.flatten()
-            data, offsets = utf8(values)
-            row_of = np.repeat(np.arange(batch.num_rows), lengths)
+            data, starts, ends, doc = tokens(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
             sources = np.array(batch.column("source").to_pylist(), object)
             out_lang, out_source, out_ord, out_n = [], [], [], []
@@ -225,10 +289,10 @@ def counts(terms: DataFrame, vocab: DataFrame) -> DataFrame:
                     continue
                 if lang not in loaded:
                     loaded[lang] = _unpack(machines.value[lang])
-                mine = np.flatnonzero(langs[row_of] == lang)
-                found = ordinals(loaded[lang], data, offsets[mine], offsets[mine + 1])
+                mine = np.flatnonzero(langs[doc] == lang)
+                found = ordinals(loaded[lang], data, starts[mine], ends[mine])
                 good = found >= 0
-                rows, ords = row_of[mine][good], found[good]
+                rows, ords = doc[mine][good], found[good]
                 # counts per (source, ordinal) of this batch, before the shuffle
                 codes, source_code = np.unique(sources[rows].astype(str), return_inverse=True)
                 pair, n = np.unique(source_code.astype(np.int64) * (1 << 40) + ords, return_counts=True)
@@ -243,6 +307,39 @@ def counts(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return each.groupBy("lang", "source", "ordinal").agg(F.sum("count").alias("count"))
 
 
+def _pair_sums(nz: DataFrame, totals: DataFrame, width: int = BLOCK_TERMS) -> DataFrame:
+    """lang, a, b, value: sum over all kept terms of |p_a - p_b| for every two sources of a language.
+
+    Kept terms of a language are cut into blocks of ``width`` ordinals; a task takes one block with every source of
+    the language (absent terms at the source's constant) and adds up the differences of all its pairs.
+    """
+    blocks = totals.where("V > 0").select("lang", "source", "c", F.explode(F.sequence(F.lit(0), ((F.col("V") - 1) / width).cast("int"))).alias("block"))
+    marks = blocks.select("lang", "block", "source", F.lit(-1).cast("bigint").alias("ordinal"), F.col("c").alias("p"))
+    present = nz.select("lang", (F.col("ordinal") / width).cast("int").alias("block"), "source", "ordinal", "p")
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        sources = sorted(rows.loc[rows["ordinal"] < 0, "source"].unique(), key=lambda x: x.encode())
+        where = {x: i for i, x in enumerate(sources)}
+        const = rows[rows["ordinal"] < 0].drop_duplicates("source").set_index("source")["p"]
+        terms = rows[rows["ordinal"] >= 0]
+        low = int(rows["block"].iloc[0]) * width
+        span = int(terms["ordinal"].max()) - low + 1 if len(terms) else 0
+        matrix = np.repeat(np.array([const[x] for x in sources], np.int64)[:, None], span, axis=1)
+        matrix[terms["source"].map(where).to_numpy(), terms["ordinal"].to_numpy() - low] = terms["p"].to_numpy()
+        out_a, out_b, out_v = [], [], []
+        for i, x in enumerate(sources):
+            sums = np.abs(matrix - matrix[i]).sum(axis=1)
+            out_a += [x] * len(sources)
+            out_b += sources
+            out_v.append(sums)
+        value = np.concatenate(out_v) if out_v else np.zeros(0, np.int64)
+        frame = pd.DataFrame({"lang": rows["lang"].iloc[0], "a": out_a, "b": out_b, "value": value})
+        return frame[frame["a"] != frame["b"]]
+
+    each = present.unionByName(marks).groupBy("lang", "block").applyInPandas(work, "lang string, a string, b string, value bigint")
+    return each.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+
+
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value (bigint), rank (int) of every (lang, source) group of ``docs``.
 
@@ -251,7 +348,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     value are broken by item in UTF-8 byte order, so ranks run 1, 2, 3 without gaps.  Repeated rows count as
     documents.  No rows give no rows.  Other columns of ``docs`` are not read.
     """
-    terms = terms_of(docs)  # read twice rather than stored: the regular expression is cheaper than the disk
+    terms = terms_of(docs)  # read twice, by the vocabulary and by the recount, rather than stored
     vocab = kept(vocabulary(terms, min_docs), "vocabulary")
     found = kept(counts(terms, vocab), "counts")
 
@@ -276,28 +373,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     best = above.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
     term_rows = best.join(vocab, ["lang", "ordinal"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", F.col("rank").cast("int"))
 
-    # part pair: sum over all kept terms of |p_a - p_b|, from the terms present in a, in b, in both, and the rest
-    a = totals.select("lang", F.col("source").alias("a"), F.col("c").alias("ca"), "V")
-    b = totals.select("lang", F.col("source").alias("b"), F.col("c").alias("cb"))
-    pairs = a.join(b, "lang").where("a != b")  # every other source of the language: the rows of the result
-    # sum over terms of a of |p - c_b| and how many; constants of groups are few and broadcast behind their count
-    side = nz.select("lang", F.col("source").alias("a"), "p").join(pairs.select("lang", "a", "b", "cb"), ["lang", "a"])
-    one_side = side.groupBy("lang", "a", "b").agg(F.sum(F.abs(F.col("p") - F.col("cb"))).alias("s_a"), F.count(F.lit(1)).alias("n_a"))
-    # terms present in both
-    x = nz.select("lang", "ordinal", F.col("source").alias("a"), F.col("p").alias("pa"))
-    y = nz.select("lang", "ordinal", F.col("source").alias("b"), F.col("p").alias("pb"))
-    both = x.join(y, ["lang", "ordinal"]).where("a != b").join(pairs.select("lang", "a", "b", "ca", "cb"), ["lang", "a", "b"])
-    shared = both.groupBy("lang", "a", "b").agg(
-        F.sum(F.abs(F.col("pa") - F.col("pb"))).alias("i_ab"),
-        F.sum(F.abs(F.col("pa") - F.col("cb"))).alias("i_a"),
-        F.sum(F.abs(F.col("pb") - F.col("ca"))).alias("i_b"),
-        F.count(F.lit(1)).alias("n_ab"),
-    )
-    mirrored = one_side.select("lang", F.col("a").alias("b"), F.col("b").alias("a"), F.col("s_a").alias("s_b"), F.col("n_a").alias("n_b"))
-    whole = pairs.join(one_side, ["lang", "a", "b"], "left").join(mirrored, ["lang", "a", "b"], "left").join(shared, ["lang", "a", "b"], "left").fillna(0, ["s_a", "n_a", "s_b", "n_b", "i_ab", "i_a", "i_b", "n_ab"])
-    rest = F.col("V") - F.col("n_a") - F.col("n_b") + F.col("n_ab")
-    value = F.col("i_ab") + (F.col("s_a") - F.col("i_a")) + (F.col("s_b") - F.col("i_b")) + rest * F.abs(F.coalesce(F.col("ca") - F.col("cb"), F.lit(0)))
-    value = F.when(F.col("V") > 0, value).otherwise(F.lit(0)).cast("bigint")
+    # part pair: every other source of the language, the sum over all kept terms by blocks of terms
+    a = totals.select("lang", F.col("source").alias("a"))
+    b = totals.select("lang", F.col("source").alias("b"))
+    pairs = a.join(b, "lang").where("a != b")  # the rows of the result
+    whole = pairs.join(_pair_sums(nz, totals), ["lang", "a", "b"], "left").fillna(0, ["value"])
+    value = F.col("value").cast("bigint")
     by_pair = Window.partitionBy("lang", "a").orderBy(F.col("value").desc(), F.col("b").cast("binary"))
     pair_rows = whole.select("lang", "a", "b", value.alias("value")).withColumn("rank", F.row_number().over(by_pair).cast("int"))
     pair_rows = pair_rows.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value", "rank")
