@@ -14,3 +14,9 @@ def spark():
     session = local_session("routeloom-tests", cpus=8)
     yield session
     session.stop()
+
+
+def pytest_collection_modifyitems(items):
+    """Tests that start a Spark of their own run first, before the shared session holds its memory."""
+    first = [i for i in items if "test_another_folder" in i.nodeid]
+    items[:] = first + [i for i in items if i not in first]
