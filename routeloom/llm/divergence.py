@@ -7,9 +7,10 @@ the term's lexicographic ordinal.  Texts are streamed through the transducers of
 in lock step, to recount the kept terms per (language, source) as (ordinal, count); ordinals break ties in byte order.
 
 Smoothed probabilities are integers, ``p = 1 + floor(1e9 * (count + 5) / (N + 5 V))``, exact in longs.  Part ``pair``
-sums ``|p - q|`` over all kept terms for each other source of the language; terms that neither source has count as the
-difference of their two constants, so only terms present somewhere are ever joined.  Part ``term`` lists terms where a
-source's p exceeds its language's, the 50 largest per source.
+sums ``|p - q|`` over all kept terms for each other source of the language: the kept terms of a language are cut into
+blocks of ordinals, a task sums one block for all pairs of its sources (absent terms at the source's constant), and
+the blocks' sums are added up.  Part ``term`` lists terms where a source's p exceeds its language's, the 50 largest
+per source.  Terms are found by byte classes in NumPy, on UTF-8 the same runs as the pattern.
 
 Document frequencies and counts are aggregations with partial sums before the shuffle; a hot source or language is
 one key of an aggregation, never one task's rows.  The transducers are built one language a task and broadcast
