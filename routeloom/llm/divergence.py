@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, kept, map_batches, record, utf8
-from .words import prefix_hashes, range_hashes
+from .common import Batches, kept, map_batches, mixed, record, utf8
 
 # fixed values of the contract: terms, the letters that are lower-cased, the smoothing and the scale
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -114,6 +113,7 @@ def transducer(terms: list[bytes]) -> dict[str, np.ndarray]:
         "targets": np.array(targets, np.int64)[sort],
         "weights": np.array(weights, np.int64)[sort],
         "final": np.array([final[s] for s in order], bool),
+        "longest": np.int64(max((len(t) for t in terms), default=0)),
     }
 
 
@@ -140,7 +140,8 @@ def ordinals(fst: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarray, e
     keys, targets, weights = fst["keys"], fst["targets"], fst["weights"]
     if n == 0 or len(keys) == 0:
         return out
-    alive = np.flatnonzero(ends > starts)
+    longest = fst["longest"] if "longest" in fst else np.iinfo(np.int64).max
+    alive = np.flatnonzero((ends > starts) & (ends - starts <= longest))  # longer strings are no term
     state = np.zeros(len(alive), np.int64)
     total = np.zeros(len(alive), np.int64)
     step = 0
@@ -201,6 +202,27 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return _LOWERED[data], starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+_RNG = np.random.default_rng(20241202)
+_BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def term_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each term's bytes, all terms a byte at a time, longest first so that the open ones are a prefix."""
+    length = ends - starts
+    order = np.argsort(-length, kind="stable")
+    at, size = starts[order], length[order]
+    h = size.astype(np.uint64)
+    for j in range(int(size[0]) if len(size) else 0):
+        open_ = int(np.searchsorted(-size, -j, side="left"))  # terms longer than j
+        part = h[:open_]
+        part *= _STEP
+        part += _BYTE_CODE[data[at[:open_] + j]]
+    out = np.empty_like(h)
+    out[order] = mixed(h)
+    return out
+
+
 def terms_of(docs: DataFrame) -> DataFrame:
     """lang, source ('' for null), text ('' for null): what the passes read."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -215,8 +237,7 @@ def _document_frequencies(terms: DataFrame) -> DataFrame:
             data, starts, ends, doc = tokens(batch.column("text"))
             langs = np.array(batch.column("lang").to_pylist(), object)
             # one row per distinct (document, term); terms compared by their bytes, through their hashes
-            prefix = prefix_hashes(data)
-            h = range_hashes(prefix, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+            h = term_hashes(data, starts, ends)
             _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
             length = ends - starts
             same = bool((length == length[first][inverse]).all())
