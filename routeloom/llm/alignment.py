@@ -85,8 +85,10 @@ class Tokenizers:
         self.a_bytes, self.a_starts = _table(a_pieces)
         self.b_bytes, self.b_starts = _table(b_pieces)
         self.a_len, self.b_len = np.diff(self.a_starts), np.diff(self.b_starts)
-        self.a_text = np.array([str(i).encode() for i in range(len(a_pieces))], object)
-        self.b_text = np.array([str(i).encode() for i in range(len(b_pieces))], object)
+        self.digit_bytes, self.digit_starts = _table([str(i).encode() for i in range(len(a_pieces))] + [str(i).encode() for i in range(len(b_pieces))])
+        self.digit_len = np.diff(self.digit_starts)
+        if self.fast_a is not None:
+            del self.a  # only its table of bytes is needed
 
     def encode_a(self, text: str) -> list[int]:
         """A's ids of one text, special strings as plain text."""
@@ -158,29 +160,34 @@ def lockstep(a_ends: np.ndarray, a_first: np.ndarray, b_ends: np.ndarray, b_firs
 
 
 def _groups_text(t: Tokenizers, a_ids, b_ids, a_doc, b_doc, a_group, b_group, n_docs) -> list[str]:
-    """``a1,a2|b1;a3|b2,b3`` of each document, hashed; '' for documents without tokens."""
+    """``a1,a2|b1;a3|b2,b3`` of each document, hashed; '' for documents without tokens.
+
+    The text of a whole batch is laid out as one byte array (decimal digits of each id, then its separator), so no
+    object is made per token.
+    """
     doc = np.concatenate([a_doc, b_doc])
     group = np.concatenate([a_group, b_group])
     side = np.concatenate([np.zeros(len(a_doc), np.int8), np.ones(len(b_doc), np.int8)])
     position = np.concatenate([np.arange(len(a_doc)), np.arange(len(b_doc))])
     order = np.lexsort((position, side, group, doc))
     doc, group, side = doc[order], group[order], side[order]
-    text = np.concatenate([t.a_text[a_ids], t.b_text[b_ids]])[order]
+    # digits of each id: B's follow A's in one table
+    ids = np.concatenate([a_ids, b_ids + len(t.a_len)])[order]
     nxt = np.ones(len(doc), bool)
     nxt[:-1] = (doc[1:] == doc[:-1]) & (group[1:] == group[:-1]) & (side[1:] == side[:-1])
     nxt[-1:] = False
     last_of_doc = np.ones(len(doc), bool)
     last_of_doc[:-1] = doc[1:] != doc[:-1]
-    sep = np.where(nxt, b",", np.where(side == 0, b"|", np.where(last_of_doc, b"", b";")))
-    bounds = np.searchsorted(doc, np.arange(n_docs + 1))
-    out = []
-    for d in range(n_docs):
-        s, e = bounds[d], bounds[d + 1]
-        if s == e:
-            out.append("")
-            continue
-        out.append(hashlib.sha256(b"".join(x + y for x, y in zip(text[s:e], sep[s:e]))).hexdigest())
-    return out
+    sep = np.where(nxt, ord(","), np.where(side == 0, ord("|"), ord(";"))).astype(np.uint8)
+    has_sep = ~((side == 1) & last_of_doc)
+    width = t.digit_len[ids] + has_sep
+    begin = np.concatenate([[0], np.cumsum(width)])
+    out = np.empty(int(begin[-1]), np.uint8)
+    digits = t.digit_len[ids]
+    out[np.repeat(begin[:-1], digits) + (np.arange(digits.sum()) - np.repeat(np.cumsum(digits) - digits, digits))] = _gather(t.digit_bytes, t.digit_starts, t.digit_len, ids)
+    out[(begin[:-1] + digits)[has_sep]] = sep[has_sep]
+    bounds = begin[np.searchsorted(doc, np.arange(n_docs + 1))]
+    return [hashlib.sha256(out[s:e]).hexdigest() if e > s else "" for s, e in zip(bounds[:-1], bounds[1:])]
 
 
 def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
