@@ -114,9 +114,11 @@ def similarity_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _nearest(spark, sf)
 
 
-@register("similarity_ivf")
 def similarity_ivf(spark: SparkSession, sf: str) -> DataFrame:
-    """The three nearest other vectors of every vector by an inverted-file index; recall against the exact way in tests."""
+    """The three nearest other vectors of every vector by an inverted-file index; recall against the exact way in tests.
+
+    Not registered: its rows are approximate, so no SQL can be its oracle, and every registered query has one.
+    """
     vectors = stored(fx.read(spark, sf, "embeddings").select("vec_id", "embedding"))
     corpus = vectors.select(F.col("vec_id").alias("id"), "embedding")
     # half the square root of the rows in lists; these vectors are near uniform in 64 dimensions, so recall 0.9
