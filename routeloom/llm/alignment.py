@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 
 import numpy as np
@@ -61,17 +62,24 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True  # their strings inside texts are plain text
+        # A's entries from the vocabulary file itself, byte-level decoded; added tokens are their text
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = dict(spec["model"]["vocab"])
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        vocab.update({t["content"]: t["id"] for t in spec.get("added_tokens", [])})
+        del spec
         decoder = _byte_decoder()
-        added = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        a_pieces = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
+        a_pieces = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
             a_pieces[i] = token.encode() if token in added else bytes(decoder[c] for c in token)
         # the same ranks read by tiktoken encode A without the objects of each token; ids are equal (tested)
         self.fast_a = None
         ranks_file = a_path.rsplit(".", 1)[0] + ".tiktoken"
-        if os.path.exists(ranks_file):
+        if not os.path.exists(ranks_file):
+            self.a = Tokenizer.from_file(a_path)
+            self.a.encode_special_tokens = True  # their strings inside texts are plain text
+        else:
             import tiktoken
 
             with open(ranks_file, "rb") as f:
@@ -87,8 +95,6 @@ class Tokenizers:
         self.a_len, self.b_len = np.diff(self.a_starts), np.diff(self.b_starts)
         self.digit_bytes, self.digit_starts = _table([str(i).encode() for i in range(len(a_pieces))] + [str(i).encode() for i in range(len(b_pieces))])
         self.digit_len = np.diff(self.digit_starts)
-        if self.fast_a is not None:
-            del self.a  # only its table of bytes is needed
 
     def encode_a(self, text: str) -> list[int]:
         """A's ids of one text, special strings as plain text."""
