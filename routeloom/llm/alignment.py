@@ -33,6 +33,8 @@ from .common import Batches, kept, map_batches, record, utf8
 BROADCAST_PAIRS = 2_000_000
 #: Packs an (A id, B id) pair into one long.
 SHIFT = 32
+#: Tokens whose group strings are laid out at once, about; a longer document is laid out whole.
+GROUP_TOKENS = 1 << 17
 
 
 def _byte_decoder() -> dict[str, int]:
@@ -171,10 +173,10 @@ def _groups_text(t: Tokenizers, a_ids, b_ids, a_doc, b_doc, a_group, b_group, n_
     The text of a whole batch is laid out as one byte array (decimal digits of each id, then its separator), so no
     object is made per token.
     """
-    doc = np.concatenate([a_doc, b_doc])
-    group = np.concatenate([a_group, b_group])
+    doc = np.concatenate([a_doc, b_doc]).astype(np.int32)
+    group = np.concatenate([a_group, b_group]).astype(np.int32)
     side = np.concatenate([np.zeros(len(a_doc), np.int8), np.ones(len(b_doc), np.int8)])
-    position = np.concatenate([np.arange(len(a_doc)), np.arange(len(b_doc))])
+    position = np.concatenate([np.arange(len(a_doc), dtype=np.int32), np.arange(len(b_doc), dtype=np.int32)])
     order = np.lexsort((position, side, group, doc))
     doc, group, side = doc[order], group[order], side[order]
     # digits of each id: B's follow A's in one table
@@ -186,14 +188,26 @@ def _groups_text(t: Tokenizers, a_ids, b_ids, a_doc, b_doc, a_group, b_group, n_
     last_of_doc[:-1] = doc[1:] != doc[:-1]
     sep = np.where(nxt, ord(","), np.where(side == 0, ord("|"), ord(";"))).astype(np.uint8)
     has_sep = ~((side == 1) & last_of_doc)
-    width = t.digit_len[ids] + has_sep
-    begin = np.concatenate([[0], np.cumsum(width)])
-    out = np.empty(int(begin[-1]), np.uint8)
-    digits = t.digit_len[ids]
-    out[np.repeat(begin[:-1], digits) + (np.arange(digits.sum()) - np.repeat(np.cumsum(digits) - digits, digits))] = _gather(t.digit_bytes, t.digit_starts, t.digit_len, ids)
-    out[(begin[:-1] + digits)[has_sep]] = sep[has_sep]
-    bounds = begin[np.searchsorted(doc, np.arange(n_docs + 1))]
-    return [hashlib.sha256(out[s:e]).hexdigest() if e > s else "" for s, e in zip(bounds[:-1], bounds[1:])]
+    first = np.searchsorted(doc, np.arange(n_docs + 1))
+    digests = [""] * n_docs
+    # whole documents at a time, about GROUP_TOKENS tokens, so that the byte arrays stay small
+    d = 0
+    while d < n_docs:
+        e = max(d + 1, int(np.searchsorted(first, first[d] + GROUP_TOKENS, side="right")) - 1)
+        e = min(e, n_docs)
+        lo, hi = first[d], first[e]
+        if hi > lo:
+            part, digits = ids[lo:hi], t.digit_len[ids[lo:hi]]
+            begin = np.concatenate([[0], np.cumsum(digits + has_sep[lo:hi])])
+            out = np.empty(int(begin[-1]), np.uint8)
+            out[np.repeat(begin[:-1], digits) + (np.arange(digits.sum()) - np.repeat(np.cumsum(digits) - digits, digits))] = _gather(t.digit_bytes, t.digit_starts, t.digit_len, part)
+            out[(begin[:-1] + digits)[has_sep[lo:hi]]] = sep[lo:hi][has_sep[lo:hi]]
+            bounds = begin[first[d : e + 1] - lo]
+            for k, (s_, e_) in enumerate(zip(bounds[:-1], bounds[1:])):
+                if e_ > s_:
+                    digests[d + k] = hashlib.sha256(out[s_:e_]).hexdigest()
+        d = e
+    return digests
 
 
 def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
