@@ -117,10 +117,14 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 def _gather(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The bytes of ``ids`` one after another."""
     n = lengths[ids]
-    if not len(ids) or not n.sum():
+    total = int(n.sum())
+    if not len(ids) or not total:
         return np.zeros(0, np.uint8)
-    begin = np.repeat(starts[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    return table[begin + np.arange(n.sum())]
+    # positions fit 32 bits: a table of pieces and the bytes of one batch
+    kind = np.int32 if total < 1 << 31 and len(table) < 1 << 30 else np.int64
+    begin = np.repeat((starts[ids] - np.concatenate([[0], np.cumsum(n)[:-1]])).astype(kind), n)
+    begin += np.arange(total, dtype=kind)
+    return table[begin]
 
 
 def _spelled(ids: np.ndarray, first: np.ndarray, table, starts, lengths, data, offsets) -> np.ndarray:
@@ -180,13 +184,15 @@ def _groups_text(t: Tokenizers, a_ids, b_ids, a_doc, b_doc, a_group, b_group, n_
     order = np.lexsort((position, side, group, doc))
     doc, group, side = doc[order], group[order], side[order]
     # digits of each id: B's follow A's in one table
-    ids = np.concatenate([a_ids, b_ids + len(t.a_len)])[order]
+    ids = np.concatenate([a_ids, b_ids + len(t.a_len)]).astype(np.int32)[order]
     nxt = np.ones(len(doc), bool)
     nxt[:-1] = (doc[1:] == doc[:-1]) & (group[1:] == group[:-1]) & (side[1:] == side[:-1])
     nxt[-1:] = False
     last_of_doc = np.ones(len(doc), bool)
     last_of_doc[:-1] = doc[1:] != doc[:-1]
-    sep = np.where(nxt, ord(","), np.where(side == 0, ord("|"), ord(";"))).astype(np.uint8)
+    sep = np.full(len(doc), ord(";"), np.uint8)
+    sep[side == 0] = ord("|")
+    sep[nxt] = ord(",")
     has_sep = ~((side == 1) & last_of_doc)
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     digests = [""] * n_docs
