@@ -35,6 +35,8 @@ BROADCAST_PAIRS = 2_000_000
 SHIFT = 32
 #: Tokens whose group strings are laid out at once, about; a longer document is laid out whole.
 GROUP_TOKENS = 1 << 17
+#: Documents encoded and merged at once: bounds a worker's memory to so many texts' tokens.
+DOCS = 250
 
 
 def _byte_decoder() -> dict[str, int]:
@@ -223,9 +225,14 @@ def links(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     pairs.  Repeated rows give repeated rows.
     """
 
+    def smaller(batches: Batches) -> Batches:
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCS):
+                yield batch.slice(start, DOCS)
+
     def work(batches: Batches) -> Batches:
         t = tokenizers(a_path, b_path)
-        for batch in batches:
+        for batch in smaller(batches):
             texts = batch.column("text").fill_null("").to_pylist()
             n = len(texts)
             spaced = [" " + x for x in texts]
