@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, evaluate, retrieval, term_index, vector_index
+from ..operators import documents, evaluate, retrieval, vector_index
 from ..storage import stored
 from . import fixtures as fx
 from .registry import register
@@ -192,8 +192,9 @@ def _found(spark: SparkSession, sf: str, max_docs: int | None = None) -> DataFra
     turns = fx.read(spark, sf, "conversations").where("role = 'user'").select(
         F.concat("conv_id", F.lit("/"), "turn").alias("qid"), "text"
     )
-    turns = stored(turns)
-    vectors = stored(term_index.sparse_vectors(chunks, "id", weights))
-    asked = term_index.sparse_vectors(turns, "qid", weights).withColumnRenamed("w", "q")
-    found, _ = term_index.top_k(turns.select("qid"), asked, vectors, chunks.select("id"))
+    # the exact block products; term_index's bounds are too loose on these chunks to keep its candidate pairs small
+    found = retrieval.top_k(
+        documents.vectorize(turns, weights).select("qid", "embedding"),
+        documents.vectorize(chunks, weights).select("id", "embedding"),
+    )
     return retrieval.shaped_documents(found, chunks, max_docs)
