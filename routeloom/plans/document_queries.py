@@ -194,7 +194,8 @@ def _found(spark: SparkSession, sf: str, max_docs: int | None = None) -> DataFra
     )
     # the exact block products; term_index's bounds are too loose on these chunks to keep its candidate pairs small
     found = retrieval.top_k(
-        documents.vectorize(turns, weights).select("qid", "embedding"),
-        documents.vectorize(chunks, weights).select("id", "embedding"),
+        documents.vectorize(turns, weights, packed=True).select("qid", "embedding"),
+        documents.vectorize(chunks, weights, packed=True).select("id", "embedding"),
+        unpack=documents.unpacked(weights),
     )
     return retrieval.shaped_documents(found, chunks, max_docs)

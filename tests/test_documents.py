@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from routeloom.operators import documents, retrieval
 
@@ -128,3 +129,33 @@ def test_vectors_find_their_own_text(spark):
     assert best[0] == 3 and best[3] == 0
     shaped = retrieval.shaped_documents(found, df.selectExpr("id", "text", "'rfc1_clean.txt' AS source"), max_docs=1)
     assert {(r.qid, r.source) for r in shaped.collect()} == {(i, "RFC 1") for i in range(4)}
+
+
+def test_packed_vectors_are_the_same_and_small(spark):
+    texts = ["route origin validation of a route", "", None, "…", "community " * 300 + "path", "ünïcode wörds 12 12"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string")
+    weights = documents.fit_vectorizer(df, dims=512)
+    plain = documents.vectorize(df, weights).orderBy("id").toPandas()["embedding"]
+    cells = documents.vectorize(df, weights, packed=True).orderBy("id").toPandas()["embedding"]
+    unit = retrieval._normed(documents.unpacked(weights)(cells))
+    assert np.allclose(unit, np.stack(plain), atol=1e-12)
+    assert max(map(len, cells)) <= 2 * 301  # two bytes a term, not eight a dimension
+    rows = lambda packed, **how: {
+        (r.qid, r.rank, r.id, r.score)
+        for v in [documents.vectorize(df, weights, packed=packed)]
+        for r in retrieval.top_k(v.withColumnRenamed("id", "qid"), v, k=3, **how).collect()
+    }
+    assert rows(True, unpack=documents.unpacked(weights)) == rows(False)
+
+
+def test_vectors_and_chunks_leave_a_worker_some_rows_at_a_time(spark):
+    """More rows than one batch, in order, and none lost."""
+    n = 3 * documents.BATCH + 7
+    df = spark.range(n).selectExpr("id", "concat('word', id, ' shared') AS text").coalesce(1)
+    weights = np.ones(64)
+    rows = documents.vectorize(documents.chunk_documents(df), weights).orderBy("id").collect()
+    assert [r.text for r in rows] == [f"word{i} shared" for i in range(n)]
+    again = documents.vectorize(df.where("id % 100 = 5"), weights).orderBy("id").collect()
+    assert [r.embedding for r in rows if r.id % 100 == 5] == [r.embedding for r in again]
+    batches = [pd.Series([[0], [1]] * documents.BATCH)]
+    assert max(map(len, documents.vectorized(batches, weights))) <= documents.BATCH
