@@ -6,6 +6,9 @@ that differs from it in at most ``ceil(radius / 2)`` bits (1 + 64 + 2016 for rad
 radius share a variant (flip half the differing bits of one), and two that share a variant are within the radius.  The
 variants are shuffled by value; in each bucket of one variant every member is linked to the bucket's least member and
 the link is verified by counting differing bits, which is a spanning tree of the bucket instead of all its pairs.
+Only fingerprints that can have a link emit variants: ``radius`` differing bits leave at least four of ``radius + 4``
+blocks of bits equal, so a fingerprint that agrees with no other on any four blocks, or with none within the radius, has
+no link and needs none of its 2,081 rows (``linkable``).
 Components of the links, by large-star and small-star rounds, give each document the least doc_id reachable.
 
 Everything runs in the JVM: words by regular expression, shingles by an exploded sequence, hashes by ``xxhash64``
@@ -18,7 +21,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, text_of
@@ -33,6 +36,9 @@ BITS = 64
 SHINGLE = 4
 RADIUS = 4
 
+#: Fingerprints agreeing on some blocks that are compared with each other; the members of a larger bucket all emit variants.
+BUCKET = 256
+
 
 def masks(half: int) -> list[int]:
     """Every 64-bit mask with at most ``half`` bits set, as signed longs."""
@@ -73,6 +79,32 @@ def hex64(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def block_masks(radius: int) -> list[int]:
+    """Masks, as signed longs, of any four of ``radius + 4`` blocks of bits: two numbers within ``radius`` bits agree on one."""
+    blocks = min(radius + 4, BITS)
+    edges = [i * BITS // blocks for i in range(blocks + 1)]
+    block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    out = [sum(equal) for equal in combinations(block, max(blocks - radius, 0))]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
+
+
+def linkable(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``distinct`` (``fingerprint``, no repeats) that may be within ``radius`` bits of another.
+
+    Every one that is, is there.  Members of a bucket of up to BUCKET are compared; those of a larger one all stay, so
+    no bucket costs more than BUCKET comparisons a member.
+    """
+    tables = F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in block_masks(radius)])).alias("table", "mask")
+    keys = distinct.select("fingerprint", tables).select("fingerprint", "table", F.col("fingerprint").bitwiseAND(F.col("mask")).alias("bits"))
+    bucket = Window.partitionBy("table", "bits")
+    shared = keys.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
+    near = lambda x, y: (x != y) & (F.bit_count(x.bitwiseXOR(y)) <= radius)
+    shared = kept(shared, "shared")
+    members = shared.where(F.col("n") <= BUCKET).groupBy("table", "bits").agg(F.collect_list("fingerprint").alias("members"))
+    compared = members.select(F.explode(F.filter("members", lambda x: F.exists("members", lambda y: near(x, y)))).alias("fingerprint"))
+    return compared.unionByName(shared.where(F.col("n") > BUCKET).select("fingerprint")).distinct()
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links between distinct fingerprints of ``fps`` (column ``fingerprint``) within ``radius`` bits.
 
@@ -84,21 +116,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     # spread over all shuffle partitions before the variants multiply each row 2,081 times
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = fps.select("fingerprint").where("fingerprint is not null").distinct().repartition(width, "fingerprint")
-    variants = distinct.select("fingerprint", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(half)])).alias("mask"))
+    may = kept(linkable(distinct, radius), "linkable").repartition(width, "fingerprint")
+    variants = may.select("fingerprint", F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(half)])).alias("mask"))
     variants = variants.select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"))
     # the least member of each bucket; one shuffle on the variant, no pairs within the bucket
-    least = F.min("fingerprint").over(_by_variant())
+    least = F.min("fingerprint").over(Window.partitionBy("variant"))
     star = variants.select("fingerprint", least.alias("centre")).where("fingerprint != centre")
     verified = star.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("centre"))) <= radius)
     return verified.select(F.col("fingerprint").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def _by_variant():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("variant")
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and n_shingles of every row of ``docs``.
 

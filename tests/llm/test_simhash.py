@@ -1,9 +1,11 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from routeloom import storage
 from routeloom.llm import graph, simhash
 
 from .conftest import SF
@@ -100,3 +102,49 @@ def test_xxhash_of_the_jvm_is_xxh64(spark):
     texts = ["", "a", "hello world one two", "Été 中文 \U0001f600" * 9]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t").alias("h")).collect()
     assert [r.h & (2**64 - 1) for r in got] == [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in texts]
+
+
+def near_and_far(n=300):
+    """Random fingerprints, most with no other within 4 bits, and for every tenth one at 1 to 5 differing bits."""
+    rng = np.random.default_rng(7)
+    fps = [int(x) for x in rng.integers(0, 2**63, n)]
+    for k, f in enumerate(fps[::10]):
+        fps.append(f ^ sum(1 << int(b) for b in rng.choice(63, k % 5 + 1, replace=False)))
+    return sorted(set(fps))
+
+
+def within(fps, radius=4):
+    return {(a, b) for a in fps for b in fps if b < a and (a ^ b).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("bucket", [256, 1])
+def test_only_linkable_fingerprints_emit_variants(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)  # 1: no bucket is compared, all members go on
+    fps = near_and_far()
+    df = spark.createDataFrame([(f,) for f in fps], "fingerprint bigint")
+    linked = {f for pair in within(fps) for f in pair}
+    may = {r.fingerprint for r in simhash.linkable(df).collect()}
+    assert linked <= may and len(may) < len(fps) / 2
+    assert may == linked or bucket == 1
+    assert {(r.a, r.b) for r in simhash.links(df).collect()} == within(fps)
+
+
+def test_variants_are_emitted_for_a_few_rows_only(spark):
+    """What is exploded into variants was written before: the near fingerprints, not all."""
+    fps = near_and_far()
+    written = []
+    storage.WATCHERS.append(lambda df: written.append(df))
+    try:
+        simhash.links(spark.createDataFrame([(f,) for f in fps], "fingerprint bigint"))
+    finally:
+        storage.WATCHERS.pop()
+    assert written and written[-1].count() < len(fps) / 4
+
+
+@pytest.mark.parametrize("radius", [0, 2, 4, 7])
+def test_numbers_within_the_radius_agree_on_a_block_mask(radius):
+    rng = np.random.default_rng(radius)
+    masks = [m % 2**64 for m in simhash.block_masks(radius)]
+    for _ in range(200):
+        bits = rng.choice(64, radius, replace=False)
+        assert any(not any(m >> int(b) & 1 for b in bits) for m in masks)
