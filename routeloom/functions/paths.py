@@ -13,6 +13,9 @@ DIGITS = "^[0-9]+$"
 # give way by recursion, and a long path would overrun the stack of the executor.
 PLAIN_PATH = r"^\s*+[0-9]{1,18}+(?:\s++[0-9]{1,18}+)*+\s*+$"
 
+# A plain path that is its own normal form: single blanks, no leading zeros.  Its parts are cut out of the text.
+NORMAL_PATH = r"^[1-9][0-9]{0,17}+(?: [1-9][0-9]{0,17}+)*+\z"
+
 
 def path_tokens(path: Column | str) -> Column:
     """Whitespace-separated tokens; NULL in, NULL out; blank in, empty array out."""
@@ -47,20 +50,24 @@ def is_strict(path: Column | str) -> Column:
 def normalized_path(path: Column | str) -> Column:
     """Numbers joined by blanks; the raw tokens when no number was found; NULL for an empty path."""
     tokens, numbers = path_tokens(path), path_numbers(path)
-    return F.when(F.size(numbers) > 0, F.array_join(F.transform(numbers, lambda n: n.cast("string")), " ")).when(
-        F.size(tokens) > 0, F.array_join(tokens, " ")
+    return (
+        F.when(_col(path).rlike(NORMAL_PATH), _col(path))
+        .when(F.size(numbers) > 0, F.array_join(F.transform(numbers, lambda n: n.cast("string")), " "))
+        .when(F.size(tokens) > 0, F.array_join(tokens, " "))
     )
 
 
 def path_origin(path: Column | str) -> Column:
     """Last number of the lenient parse."""
-    return F.try_element_at(path_numbers(path), F.lit(-1))
+    last = F.substring_index(_col(path), " ", -1).try_cast("bigint")
+    return F.when(_col(path).rlike(NORMAL_PATH), last).otherwise(F.try_element_at(path_numbers(path), F.lit(-1)))
 
 
 def origin_is_set(path: Column | str) -> Column:
     """True when the origin came out of an AS set, whose origin RFC 6811 takes as none."""
     kept = F.filter(path_tokens(path), lambda t: _lenient_number(t).isNotNull())
-    return F.coalesce(F.contains(F.try_element_at(kept, F.lit(-1)), F.lit("{")), F.lit(False))
+    found = F.when(F.contains(_col(path), F.lit("{")), F.contains(F.try_element_at(kept, F.lit(-1)), F.lit("{")))
+    return F.coalesce(found, F.lit(False))
 
 
 def strict_path_numbers(path: Column | str) -> Column:

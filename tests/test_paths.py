@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from routeloom.functions import paths
 
 CASES = [
@@ -71,3 +73,24 @@ def test_communities_given_as_text(spark):
     df = spark.createDataFrame([("1:2 3:4", ["1:2", "3:4"]), ("", []), (None, None)], "t string, i array<string>")
     assert [r[0] for r in df.select(paths.communities_text("t", "text")).collect()] == ["1:2 3:4", None, None]
     assert [r[0] for r in df.select(paths.communities_text("i", "items")).collect()] == ["1:2 3:4", None, None]
+
+
+def test_normal_paths_are_cut_not_parsed(spark):
+    """A path in its normal form, and texts close to one, give what taking them apart gives."""
+    forms = ["1 22 333", "7", "1 22 333\n", " 1 2", "1  2", "1 2 ", "01 2", "1 02", "0", "1 0", "1 " + "9" * 18, "1 " + "9" * 19, "1 a", "1\t2", "", None, "{1,2}", "3 {4,5}", "3 {4,5} 6", "3 (4 5) 6", "3 {"]
+    df = spark.createDataFrame([(p,) for p in forms], "p string")
+    numbers = paths.path_numbers("p")
+    whole = F.when(F.size(numbers) > 0, F.array_join(numbers.cast("array<string>"), " ")).when(F.size(paths.path_tokens("p")) > 0, F.array_join(paths.path_tokens("p"), " "))
+    got = df.select("p", paths.normalized_path("p").alias("n"), whole.alias("n2"), paths.path_origin("p").alias("o"), F.try_element_at(numbers, F.lit(-1)).alias("o2"), paths.origin_is_set("p").alias("s"))
+    for r in got.collect():
+        assert (r.n, r.o) == (r.n2, r.o2), r
+        assert r.s == (r.p in ("{1,2}", "3 {4,5}")), r
+
+
+def test_long_normal_path(spark):
+    """A long path is in normal form too, and its text and last number come out whole."""
+    path = " ".join(str(1 + i) for i in range(5000))
+    df = spark.createDataFrame([(path,)], "p string")
+    r = df.select(paths.normalized_path("p").alias("n"), paths.path_origin("p").alias("o")).first()
+    assert (r.n, r.o) == (path, 5000)
+    assert df.where(F.col("p").rlike(paths.NORMAL_PATH)).count() == 1
