@@ -31,9 +31,14 @@ def salted_networks(networks: DataFrame, salts: int = SALTS) -> DataFrame:
     return networks.withColumn("salt", F.explode(copies))
 
 
-def network_probes(rows: DataFrame, networks: DataFrame, identity: list[str], salts: int = SALTS) -> DataFrame:
-    """Rows with ``family, hi, lo, max_len`` to one row per network length that may cover them, plus a salt."""
-    lengths = F.broadcast(networks.select("family", "plen").distinct())
+def network_probes(
+    rows: DataFrame, networks: DataFrame, identity: list[str], salts: int = SALTS, carried: list[str] | None = None
+) -> DataFrame:
+    """Rows with ``family, hi, lo, max_len`` to one row per network length that may cover them, plus a salt.
+
+    ``carried``: columns of ``networks`` that depend on its length only.
+    """
+    lengths = F.broadcast(networks.select("family", "plen", *(carried or [])).distinct())
     fam, plen = F.col("family"), F.col("plen")
     return (
         rows.join(lengths, "family")
@@ -71,46 +76,52 @@ def longest_match(addresses: DataFrame, state: DataFrame, text: str = "ip", how:
 def validate_origins(routes: DataFrame, vrps: DataFrame) -> DataFrame:
     """RFC 6811 state of each distinct ``(prefix, origin_as)``: valid, invalid or not-found.
 
-    ``vrps``: ``prefix, max_length, asn``; without a maximum length, that of the prefix counts.  ``origin_as`` NULL, or ``origin_is_set`` true, matches no VRP.  VRPs are
-    first combined per network and per (network, ASN), so a probe meets at most one row of each kind however many
-    VRPs one network has.
+    ``vrps``: ``prefix, max_length, asn``; without a maximum length, that of the prefix counts.  ``origin_as`` NULL, or
+    ``origin_is_set`` true, matches no VRP.  VRPs are first combined per network and per (network, ASN), so a probe meets
+    at most one row of each kind however many VRPs one network has.  Routes are looked up by network, each once: how many
+    VRPs cover one depends only on its first bits, as many as the longest VRP that may cover it has, and an origin is looked
+    up only at lengths of which some VRP allows the route's length.
     """
-    total = F.lit(-1).cast("bigint")
     networks = with_network(vrps.select("prefix", F.col("max_length").cast("int"), F.col("asn").cast("bigint")))
     networks = networks.withColumn("max_length", F.coalesce("max_length", "plen"))
     per_asn = stored(
         networks.groupingSets([KEY, [*KEY, "asn"]], *KEY, "asn")
         .agg(F.count("*").alias("n"), F.max("max_length").alias("max_length"), F.grouping("asn").alias("_all"))
         .where("_all = 1 OR asn > 0")
-        .select(*KEY, F.when(F.col("_all") == 1, total).otherwise(F.col("asn")).alias("asn"), "n", "max_length")
     )
+    every, own = per_asn.where("_all = 1").select(*KEY, "n"), per_asn.where("_all = 0").select(*KEY, "asn", "max_length")
+    # per length of a route, the longest VRP length that may cover it: at most 33 + 129 rows
+    reached = every.select("family", F.explode(F.sequence("plen", F.expr(f"{max_plen('family')}"))).alias("plen"), F.col("plen").alias("first_len"))
+    reached = F.broadcast(reached.distinct().groupBy("family", "plen").agg(F.max("first_len").alias("first_len")))
+
     origin = F.col("origin_as").cast("bigint")
     if "origin_is_set" in routes.columns:
         origin = F.when(~F.col("origin_is_set"), origin)
     asked = routes.select("prefix", F.col("origin_as").cast("bigint"), origin.alias("_origin")).distinct()
-    keyed = with_network(asked).withColumnsRenamed({"net_hi": "hi", "net_lo": "lo", "plen": "max_len"})
-    identity = ["prefix", "origin_as", "_origin"]
-    probes = network_probes(keyed.withColumn("_route_len", F.col("max_len")), per_asn, identity).withColumn(
-        "asn", F.explode(F.when(F.col("_origin") > 0, F.array(total, F.col("_origin"))).otherwise(F.array(total)))
-    )
-    hits = probes.join(salted_networks(per_asn), [*KEY, "asn", "salt"])
-    counted = hits.select(
-        *identity,
-        F.when(F.col("asn") == total, F.col("n")).otherwise(0).alias("covering"),
-        F.when((F.col("asn") != total) & (F.col("_route_len") <= F.col("max_length")), 1).otherwise(0).alias("matched"),
-    )
-    # The asked rows themselves join the sum with zeros, so uncovered routes need no outer join.
-    base = asked.select(*identity, F.lit(0).cast("bigint").alias("covering"), F.lit(0).alias("matched"))
-    return (
-        base.unionByName(counted)
-        .groupBy(*identity)
-        .agg(F.sum("covering").alias("covering_vrps"), F.max("matched").alias("_matched"))
-        .select(
-            "prefix",
-            "origin_as",
-            F.col("_origin").isNull().alias("origin_is_none"),
-            "covering_vrps",
-            F.when(F.col("_matched") == 1, "valid").when(F.col("covering_vrps") > 0, "invalid").otherwise("not-found")
-            .alias("rpki_status"),
-        )
+    keyed = with_network(asked, drop_invalid=False).join(reached, ["family", "plen"], "left")
+    first = {"first_hi": F.expr(mask_hi("family", "net_hi", "first_len")), "first_lo": F.expr(mask_lo("family", "net_lo", "first_len"))}
+    keyed = stored(keyed.withColumns(first))
+
+    start = ["family", "first_hi", "first_lo", "first_len"]
+    starts = keyed.where("first_len IS NOT NULL").select(start).distinct()
+    probes = network_probes(starts.withColumns({"hi": F.col("first_hi"), "lo": F.col("first_lo"), "max_len": F.col("first_len")}), every, start)
+    covering = probes.join(salted_networks(every), [*KEY, "salt"]).groupBy(start).agg(F.sum("n").alias("covering"))
+
+    route = ["family", "hi", "lo", "max_len"]
+    of = keyed.withColumnsRenamed({"net_hi": "hi", "net_lo": "lo", "plen": "max_len"})
+    origins = of.where("first_len IS NOT NULL AND _origin > 0").select(*route, F.col("_origin").alias("asn")).distinct()
+    origins = origins.withColumns({"_hi": F.col("hi"), "_lo": F.col("lo"), "_len": F.col("max_len")})
+    allowed = own.groupBy("family", "plen").agg(F.max("max_length").alias("_longest"))
+    probes = network_probes(origins, allowed, ["_hi", "_lo", "_len", "asn"], carried=["_longest"]).where("_len <= _longest")
+    hits = probes.join(salted_networks(own), [*KEY, "asn", "salt"]).where("_len <= max_length")
+    matched = hits.select("family", F.col("_hi").alias("net_hi"), F.col("_lo").alias("net_lo"), F.col("_len").alias("plen"), F.col("asn").alias("_origin")).distinct()
+
+    found = keyed.join(covering, start, "left").join(matched.withColumn("_matched", F.lit(True)), [*KEY, "_origin"], "left")
+    covered = F.coalesce("covering", F.lit(0).cast("bigint"))
+    return found.select(
+        "prefix",
+        "origin_as",
+        F.col("_origin").isNull().alias("origin_is_none"),
+        covered.alias("covering_vrps"),
+        F.when(F.col("_matched"), "valid").when(covered > 0, "invalid").otherwise("not-found").alias("rpki_status"),
     )

@@ -395,7 +395,7 @@ def routes_by_origin(spark: SparkSession, sf: str) -> DataFrame:
 )
 def origin_validation(spark: SparkSession, sf: str) -> DataFrame:
     seen = fx.load(spark, sf, "fx_updates").where("update_type = 'A'").select("prefix", "as_path")
-    rows = fx.load(spark, sf, "fx_rib").select("prefix", "as_path").unionByName(seen).distinct()
+    rows = fx.load(spark, sf, "fx_rib").select("prefix", "as_path").unionByName(seen)
     routes = rows.select(
         "prefix", paths.path_origin("as_path").alias("origin_as"), paths.origin_is_set("as_path").alias("origin_is_set")
     ).where("origin_as IS NOT NULL")

@@ -70,3 +70,29 @@ def test_origin_validation_equals_brute_force(spark):
         ok = not is_set and any(a and a == origin and net.prefixlen <= m for m, a in cover)
         want.add((prefix, origin, is_set or origin is None, len(cover), "valid" if ok else "invalid" if cover else "not-found"))
     assert {(r.prefix, r.origin_as, r.origin_is_none, r.covering_vrps, r.rpki_status) for r in got} == want
+
+
+def test_routes_are_looked_up_by_network(spark):
+    """Many texts and origins of one network are one probe row a length, and origins only where a length is allowed."""
+    routes = [(f"10.{i}.0.1/8", 1000 + i % 3, False) for i in range(200)] + [("10.1.2.0/24", 1000, False), ("x", 1, False), (None, 1, False), ("11.0.0.0/8", 5, True)]
+    vrps = [("10.0.0.0/8", None, 1000), ("10.1.0.0/16", 24, 1000), ("0.0.0.0/0", 4, 1002), ("10.0.0.0/8", 30, 0)]
+    probed = []
+    salted = covering.network_probes
+
+    def counted(rows, *args, **kwargs):
+        probed.append(rows.count())
+        return salted(rows, *args, **kwargs)
+
+    covering.network_probes = counted
+    try:
+        got = covering.validate_origins(spark.createDataFrame(routes, "prefix string, origin_as bigint, origin_is_set boolean"), spark.createDataFrame(vrps, "prefix string, max_length int, asn bigint"))
+        rows = {(r.prefix, r.origin_as): (r.origin_is_none, r.covering_vrps, r.rpki_status) for r in got.collect()}
+    finally:
+        covering.network_probes = salted
+    # 10/8, 10.1/16 (for 10.1.2/24) and 0/0 (for 11/8); 10/8 of three origins and 10.1.2/24 of one
+    assert probed == [3, 4]
+    assert len(rows) == len(routes)
+    assert rows[("10.0.0.1/8", 1000)] == (False, 3, "valid") and rows[("10.1.0.1/8", 1001)] == (False, 3, "invalid")
+    assert rows[("10.2.0.1/8", 1002)] == (False, 3, "invalid")
+    assert rows[("10.1.2.0/24", 1000)] == (False, 4, "valid")
+    assert rows[("x", 1)] == rows[(None, 1)] == (False, 0, "not-found") and rows[("11.0.0.0/8", 5)] == (True, 1, "invalid")
