@@ -33,7 +33,8 @@ def _as_set(items: Column) -> Column:
 
 def _words_in(lowered: Column, words: list[str]) -> Column:
     """The words that occur in the text, also inside longer words."""
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in sorted(words)]))
+    found = [F.when(F.contains(lowered, F.lit(w)), F.lit(w)).otherwise("") for w in sorted(words)]
+    return F.array_remove(F.array(*found), "")
 
 
 def _any_of(lowered: Column, words: list[str]) -> Column:

@@ -94,12 +94,17 @@ MODEL_SQL = """
 
 def model_extraction(spark: SparkSession, sf: str) -> DataFrame:
     truth = fx.load(spark, sf, "fx_truth")
-    of = lambda t, v: F.collect_set(F.when(F.col("entity_type") == t, v))
-    return truth.groupBy("qid").agg(
-        of("asns", F.replace("value", F.lit("AS"), F.lit(""))).alias("asns"),
-        of("prefixes", F.col("value")).alias("prefixes"),
-        of("ip_addresses", F.trim("value")).alias("ip_addresses"),
+    kind = F.col("entity_type")
+    value = (
+        F.when(kind == "asns", F.replace("value", F.lit("AS"), F.lit("")))
+        .when(kind == "prefixes", F.col("value"))
+        .when(kind == "ip_addresses", F.trim("value"))
     )
+    # a question's rows are few and of different tasks: they are brought together once, without combining them before
+    rows = truth.select("qid", F.when(value.isNotNull(), F.struct("entity_type", value.alias("value"))).alias("entity"))
+    found = rows.repartition("qid").groupBy("qid").agg(F.collect_set("entity").alias("found"))
+    of = lambda t: F.transform(F.filter("found", lambda e: e["entity_type"] == t), lambda e: e["value"]).alias(t)
+    return found.select("qid", of("asns"), of("prefixes"), of("ip_addresses"))
 
 
 @register(

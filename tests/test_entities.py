@@ -97,3 +97,16 @@ def test_word_lists_are_the_fixed_ones():
     assert entities.TIME_WORDS == "yesterday today now current hour minute week month day ago since last this recent".split()
     assert entities.RPKI_WORDS == ["rpki", "roa", "valid"] and entities.HISTORY_WORDS == ["history", "historical"]
     assert len(entities.STATIC_PHRASES) == 13 and "border gateway protocol" in entities.STATIC_PHRASES
+
+
+def test_model_extraction_shuffles_once(spark):
+    """Rows of a question come together in one shuffle, with nothing combined and sorted before it."""
+    from routeloom.plans import text_queries
+
+    model = text_queries.model_extraction(spark, "/root/testdata/sf0.001")
+    plan = model._jdf.queryExecution().sparkPlan().toString()
+    before = plan[plan.index("Exchange") :]
+    assert "Aggregate" not in before and "Aggregate" in plan
+    rows = model.collect()
+    assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey").distinct().count()
+    assert all(r.asns == [str(1000 + r.qid % 5)] and None not in r.prefixes + r.ip_addresses for r in rows)
