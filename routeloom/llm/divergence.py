@@ -3,14 +3,15 @@
 Terms are runs of characters other than ASCII non-letters, with A-Z lower-cased.  Each language keeps the terms that are
 in at least ``min_docs`` of its documents.  The kept terms of a language become a minimal acyclic transducer over UTF-8
 bytes, built from the sorted terms by the incremental algorithm for sorted input: its outputs along a path add up to
-the term's lexicographic ordinal.  Texts are streamed through the transducers of their languages, all terms of a batch
-in lock step, to recount the kept terms per (language, source) as (ordinal, count); ordinals break ties in byte order.
+the term's lexicographic ordinal.  Texts are streamed through the transducers of their languages, the distinct terms of a
+batch in lock step, to recount the kept terms per (language, source) as (ordinal, count); ordinals break ties in byte order.
 
 Smoothed probabilities are integers, ``p = 1 + floor(1e9 * (count + 5) / (N + 5 V))``, exact in longs.  Part ``pair``
 sums ``|p - q|`` over all kept terms for each other source of the language: the kept terms of a language are cut into
 blocks of ordinals, a task sums one block for all pairs of its sources (absent terms at the source's constant), and
 the blocks' sums are added up.  Part ``term`` lists terms where a source's p exceeds its language's, the 50 largest
-per source.  Terms are found by byte classes in NumPy, on UTF-8 the same runs as the pattern.
+per source.  Terms are found by byte classes in NumPy, on UTF-8 the same runs as the pattern, and grouped by 64-bit keys that
+are checked against all bytes.  A task adds up its batches, within a bound on rows, before it gives any out.
 
 Document frequencies and counts are aggregations with partial sums before the shuffle; a hot source or language is
 one key of an aggregation, never one task's rows.  The transducers are built one language a task and broadcast
@@ -21,6 +22,7 @@ instead, with the same result.
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -133,6 +135,22 @@ def _post_order(trans: list[dict[int, int]]) -> list[int]:
     return out
 
 
+def with_table(fst: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
+    """With transitions by state and class of byte (the bytes in use, and one class for all others), -1 where there is none.
+
+    A table of more than ``most`` bytes is left out; transitions are then searched for.
+    """
+    labels = np.unique(fst["keys"] & 255)
+    width = len(labels) + 1
+    if len(fst["final"]) * width * 4 > most:
+        return fst
+    classes = np.full(256, len(labels), np.int64)
+    classes[labels] = np.arange(len(labels))
+    table = np.full(len(fst["final"]) * width, -1, np.int32)
+    table[(fst["keys"] >> 8) * width + classes[fst["keys"] & 255]] = np.arange(len(fst["keys"]), dtype=np.int32)
+    return fst | {"table": table, "classes": classes, "width": np.int64(width)}
+
+
 def ordinals(fst: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Ordinal of each byte string data[starts:ends] in the transducer, -1 where it is not a term; all in lock step."""
     n = len(starts)
@@ -154,9 +172,14 @@ def ordinals(fst: dict[str, np.ndarray], data: np.ndarray, starts: np.ndarray, e
             alive, state, total = alive[keep], state[keep], total[keep]
             if not len(alive):
                 break
-        key = state * 256 + data[starts[alive] + step]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
+        label = data[starts[alive] + step]
+        if "table" in fst:
+            at = fst["table"][state * fst["width"] + fst["classes"][label]]
+            hit = at >= 0
+        else:
+            key = state * 256 + label
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
         alive, state, total, at = alive[hit], state[hit], total[hit], at[hit]
         state = targets[at]
         total = total + weights[at]
@@ -175,52 +198,127 @@ def _unpack(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-#: Bytes that belong to terms: letters of ASCII and every byte of a character outside ASCII.
-_TERM_BYTE = np.zeros(256, bool)
-_TERM_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_LOWERED = np.arange(256, dtype=np.uint8)
-_LOWERED[0x41:0x5B] += 0x20
+#: Bytes that belong to terms, letters of ASCII (lower-cased) and every byte of a character outside ASCII; others are 0.
+_LOWERED = np.zeros(256, np.uint8)
+_LOWERED[0x61:0x7B] = _LOWERED[0x41:0x5B] = np.arange(0x61, 0x7B)
+_LOWERED[0x80:] = np.arange(0x80, 0x100)
+#: Rows that a task adds up before it gives them out, a bound on its memory.
+HELD = 1 << 19
+#: Bytes of the transition tables of a task, all languages together.
+TABLE_BYTES = 64 << 20
 #: Kept terms of a language per task of the pair part.
 BLOCK_TERMS = 4096
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes of all texts, and start, end and text of every term; null is empty.
+    """Lower-cased bytes of all texts (0 outside terms), and start, end and text of every term; null is empty.
 
     A term is a run of bytes of letters and of characters outside ASCII, which on UTF-8 is the runs of the pattern.
     """
     data, offsets = utf8(texts)
-    term = _TERM_BYTE[data]
-    first = np.zeros(len(data), bool)
-    first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    last = np.zeros(len(data), bool)
-    last[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
-    before = np.concatenate([[False], term[:-1]]) & ~first
-    after = np.concatenate([term[1:], [False]]) & ~last
-    starts = np.flatnonzero(term & ~before)
-    ends = np.flatnonzero(term & ~after) + 1
-    return _LOWERED[data], starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
-
-_RNG = np.random.default_rng(20241202)
-_BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    data = _LOWERED[data]
+    term = data != 0
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = term[:-1], term[1:]
+    own = offsets[1:] > offsets[:-1]
+    before[offsets[:-1][own]] = False
+    after[offsets[1:][own] - 1] = False
+    starts = np.flatnonzero(term > before)
+    ends = np.flatnonzero(term > after) + 1
+    return data, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a number; zeros follow the data."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def term_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each term's bytes, all terms a byte at a time, longest first so that the open ones are a prefix."""
+def term_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each term: its bytes, or of more than eight bytes a hash, eight bytes at a time."""
     length = ends - starts
-    order = np.argsort(-length, kind="stable")
-    at, size = starts[order], length[order]
-    h = size.astype(np.uint64)
-    for j in range(int(size[0]) if len(size) else 0):
-        open_ = int(np.searchsorted(-size, -j, side="left"))  # terms longer than j
-        part = h[:open_]
-        part *= _STEP
-        part += _BYTE_CODE[data[at[:open_] + j]]
-    out = np.empty_like(h)
-    out[order] = mixed(h)
-    return out
+    keys = words[starts] & _MASKS[np.minimum(length, 8)]
+    open_ = np.flatnonzero(length > 8)
+    done = 8
+    while len(open_):
+        part = words[starts[open_] + done] & _MASKS[np.minimum(length[open_] - done, 8)]
+        keys[open_] = mixed(keys[open_] * _STEP + part)
+        done += 8
+        open_ = open_[length[open_] > done]
+    return keys
+
+
+def _alike(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> bool:
+    """Whether each term that has over eight bytes equals the term at ``others`` byte by byte, and the rest have its length."""
+    length = ends - starts
+    if not (length == length[others]).all():
+        return False
+    open_ = np.flatnonzero(length > 8)
+    done = 0
+    while len(open_):
+        mask = _MASKS[np.minimum(length[open_] - done, 8)]
+        if (((words[starts[open_] + done] ^ words[starts[others[open_]] + done]) & mask) != 0).any():
+            return False
+        done += 8
+        open_ = open_[length[open_] > done]
+    return True
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first occurrence of each distinct term, and which of them each term is; terms are compared by all their bytes."""
+    words = _words(data)
+    code, _ = pd.factorize(term_keys(words, starts, ends))
+    first = _firsts(code)
+    if not _alike(words, starts, ends, first[code]):  # two terms share a key: by their bytes instead
+        code, _ = pd.factorize(np.array([data[a:b].tobytes() for a, b in zip(starts, ends)], object))
+        first = _firsts(code)
+    return first, code
+
+
+def _firsts(code: np.ndarray) -> np.ndarray:
+    first = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    return first
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each comes."""
+    values = np.sort(values)
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[at], np.diff(at, append=len(values))
+
+
+def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The terms as an Arrow column."""
+    to = np.concatenate([[0], np.cumsum(ends - starts)])
+    raw = data[np.repeat(starts - to[:-1], ends - starts) + np.arange(to[-1])]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(to.astype(np.int64)), pa.py_buffer(raw)).cast(pa.string())
+
+
+def _added(parts: Iterator[pa.RecordBatch], key: list[str], n: str) -> Iterator[pa.Table]:
+    """``parts`` with ``n`` summed per key over as many as stay within HELD rows."""
+    held, rows = [], 0
+
+    def merged() -> pa.Table:
+        return pa.Table.from_batches(held).group_by(key, use_threads=False).aggregate([(n, "sum")]).rename_columns([*key, n])
+
+    for part in parts:
+        held.append(part)
+        rows += part.num_rows
+        if rows >= HELD:
+            whole = merged()
+            if whole.num_rows > HELD // 2:
+                yield whole
+                held, rows = [], 0
+            else:
+                held, rows = whole.to_batches(), whole.num_rows
+    if held:
+        yield merged()
+    held = []
+    pa.default_memory_pool().release_unused()  # workers are used again, and idle ones would keep it beside the JVM
 
 
 def terms_of(docs: DataFrame) -> DataFrame:
@@ -232,36 +330,21 @@ def terms_of(docs: DataFrame) -> DataFrame:
 def _document_frequencies(terms: DataFrame) -> DataFrame:
     """lang, term, docs: in how many documents of the language each term is, summed from the counts of each batch."""
 
-    def work(batches: Batches) -> Batches:
+    def each_batch(batches: Batches) -> Batches:
         for batch in batches:
             data, starts, ends, doc = tokens(batch.column("text"))
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            # one row per distinct (document, term); terms compared by their bytes, through their hashes
-            h = term_hashes(data, starts, ends)
-            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            length = ends - starts
-            same = bool((length == length[first][inverse]).all())
-            if same and len(starts):
-                # every occurrence against the first of its hash, byte by byte
-                step = np.repeat(starts[first][inverse] - starts, length)
-                pos = np.repeat(starts - np.cumsum(length) + length, length) + np.arange(length.sum())
-                same = bool((data[pos] == data[pos + step]).all())
-            if not same:  # two terms share a hash: by their bytes instead
-                words = [data[a:b].tobytes() for a, b in zip(starts, ends)]
-                table: dict[bytes, int] = {}
-                inverse = np.array([table.setdefault(w, len(table)) for w in words], np.int64)
-                first = np.zeros(len(table), np.int64)
-                first[inverse[::-1]] = np.arange(len(words))[::-1]
-            pairs = np.unique(doc.astype(np.int64) * (len(first) + 1) + inverse)
-            docs_of, term_of = pairs // (len(first) + 1), pairs % (len(first) + 1)
-            lang_codes, lang_of = np.unique(langs[docs_of].astype(str), return_inverse=True) if len(pairs) else (np.zeros(0, str), np.zeros(0, np.int64))
-            key, n = np.unique(lang_of.astype(np.int64) * (len(first) + 1) + term_of, return_counts=True)
-            which = first[key % (len(first) + 1)]
-            yield record(
-                lang=pa.array(lang_codes[key // (len(first) + 1)].tolist(), pa.string()),
-                term=pa.array([data[starts[i] : ends[i]].tobytes().decode() for i in which], pa.string()),
-                docs=n.astype(np.int64),
-            )
+            first, code = distinct(data, starts, ends)
+            n_terms = max(len(first), 1)
+            langs = batch.column("lang").dictionary_encode()
+            # one row per distinct (document, term), counted by (language, term)
+            pairs, _ = _runs(doc * n_terms + code)
+            key, n = _runs(langs.indices.to_numpy()[pairs // n_terms].astype(np.int64) * n_terms + pairs % n_terms)
+            which = first[key % n_terms]
+            yield record(lang=langs.dictionary.take(pa.array(key // n_terms)).cast(pa.string()), term=_strings(data, starts[which], ends[which]), docs=n.astype(np.int64))
+
+    def work(batches: Batches) -> Batches:
+        for part in _added(each_batch(batches), ["lang", "term"], "docs"):
+            yield from part.to_batches()
 
     each = map_batches(terms.select("lang", "text"), work, "lang string, term string, docs bigint")
     return each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
@@ -301,29 +384,37 @@ def counts(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
     def work(batches: Batches) -> Batches:
         loaded: dict[str, dict] = {}
-        for batch in batches:
-            data, starts, ends, doc = tokens(batch.column("text"))
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            sources = np.array(batch.column("source").to_pylist(), object)
-            out_lang, out_source, out_ord, out_n = [], [], [], []
-            for lang in set(langs.tolist()):
-                if lang not in machines.value:
-                    continue
-                if lang not in loaded:
-                    loaded[lang] = _unpack(machines.value[lang])
-                mine = np.flatnonzero(langs[doc] == lang)
-                found = ordinals(loaded[lang], data, starts[mine], ends[mine])
-                good = found >= 0
-                rows, ords = doc[mine][good], found[good]
-                # counts per (source, ordinal) of this batch, before the shuffle
-                codes, source_code = np.unique(sources[rows].astype(str), return_inverse=True)
-                pair, n = np.unique(source_code.astype(np.int64) * (1 << 40) + ords, return_counts=True)
-                out_lang += [lang] * len(pair)
-                out_source += codes[pair >> 40].tolist()
-                out_ord.append(pair & ((1 << 40) - 1))
-                out_n.append(n.astype(np.int64))
-            cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-            yield record(lang=pa.array(out_lang, pa.string()), source=pa.array(out_source, pa.string()), ordinal=cat(out_ord), count=cat(out_n))
+        groups: dict[tuple[str, str], int] = {}  # numbers of the (language, source) of this task
+        room = TABLE_BYTES
+
+        def each_batch() -> Batches:
+            nonlocal room
+            for batch in batches:
+                data, starts, ends, doc = tokens(batch.column("text"))
+                first, code = distinct(data, starts, ends)
+                n_terms = max(len(first), 1)
+                langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+                group = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources)], np.int64)
+                # the distinct terms of each group and how often each comes; the machine of the language tells their ordinals
+                key, n = _runs(group[doc] * n_terms + code)
+                of_group, of_term = key // n_terms, key % n_terms
+                lang_of = dict(zip(group.tolist(), langs))
+                for lang in set(langs) & machines.value.keys():
+                    if lang not in loaded:
+                        loaded[lang] = with_table(_unpack(machines.value[lang]), room)
+                        room -= loaded[lang]["table"].nbytes if "table" in loaded[lang] else 0
+                    mine = np.flatnonzero(np.isin(of_group, [g for g, own in lang_of.items() if own == lang]))
+                    asked, back = np.unique(of_term[mine], return_inverse=True)
+                    at = first[asked]
+                    found = ordinals(loaded[lang], data, starts[at], ends[at])[back]
+                    good = found >= 0
+                    yield record(group=of_group[mine][good], ordinal=found[good], count=n[mine][good].astype(np.int64))
+
+        for part in _added(each_batch(), ["group", "ordinal"], "count"):
+            names = list(groups)
+            which = part["group"].combine_chunks()
+            lang, source = (pa.array([g[k] for g in names], pa.string()).take(which) for k in (0, 1))
+            yield record(lang=lang, source=source, ordinal=part["ordinal"].combine_chunks(), count=part["count"].combine_chunks())
 
     each = map_batches(terms, work, "lang string, source string, ordinal bigint, count bigint")
     return each.groupBy("lang", "source", "ordinal").agg(F.sum("count").alias("count"))
