@@ -1,8 +1,9 @@
 """Exact byte-level BPE ids by the tokenizers library, with a memory of words seen.
 
 The vocabulary's pre-tokenizer cuts a text into words that are encoded each by itself, so a word needs encoding once.
-Cutting before each space never splits such a word if a non-space follows the space; a text that has a space before
-other white space, or rare control characters, is encoded whole.  So is one that holds the string of an added token: that is one
+Texts are cut where such a word surely ends: before each space that a non-space follows, behind plain letters and behind
+plain punctuation and line ends after these; other chunks go through the pre-tokenizer's own pattern.  A text that has a space
+before other white space, or rare control characters, is encoded whole.  So is one that holds the string of an added token: that is one
 id, and cuts the text before the pre-tokenizer does.
 """
 
@@ -19,6 +20,11 @@ REMEMBERED = 500_000
 # The word pattern of this vocabulary's byte-level pre-tokenizer.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Letters to U+024F, all of which are \p{L}; a run of them is a word, with the space before it, unless a character outside ASCII or
+# an apostrophe follows.  Of several line ends before a letter the last is a word of its own.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+CHUNK = rf" ?[{_LETTER}]++(?![^\0-\x7f'])|[.,;:!?]++(?=[ \n]|\Z)|\n+(?=\n[{_LETTER}])|\n(?=[{_LETTER}])|[\s\S][^ ]*(?: \Z)?"
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -57,6 +63,7 @@ class Encoder:
         self.words = _Memory(self.word)
         self.chunks = _Memory(self._chunk)
         self.find = regex.compile(WORD).findall
+        self.cut = re.compile(CHUNK).findall
         self.odd = re.compile(r" \s|[\0-\x08\x0e-\x1f\x7f-\x9f\u180e]")
         self.rare = re.compile("[\u0250-\U0010ffff]")  # here two libraries may differ in what is a letter
 
@@ -72,6 +79,9 @@ class Encoder:
         return array(self.code, [t.id for t in self.tokenize(written)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        letters = chunk[1:] if chunk[0] == " " else chunk
+        if letters.isascii() and letters.isalpha():
+            return array(self.code, [t.id for t in self.tokenize(chunk.replace(" ", self.space))]).tobytes()
         if not chunk.isascii() and self.rare.search(chunk):
             return self.whole(chunk)
         if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
@@ -85,7 +95,7 @@ class Encoder:
         for token in self.added:
             if token in text:
                 return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        return b"".join(map(self.chunks.__getitem__, self.cut(text)))
 
 
 def encoder(path: str) -> Encoder:

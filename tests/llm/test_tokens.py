@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from routeloom.llm import packing, queries, token_files
+from routeloom.llm import byte_tokens, packing, queries, token_files
 from routeloom.llm.byte_tokens import encoder
 
 from .conftest import SF
@@ -32,6 +32,25 @@ def test_remembered_words_give_the_library_ids(text):
     assert e.encode(text) == e.whole(text)
 
 
+PIECES = ["a", "Bc", "é", "É", "ɏ", "ɐ", "中", "…", "²", "1", " ", " ", "\n", "\n\n", "\t", "\r\n", ".", "!!", "?", "'", "'s", "-", "\u0301", "\u200b", "ª", "×", " b.\n"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_chunks_end_where_words_end(text):
+    e = encoder(queries.BYTES)
+    assert e.encode(text) == e.whole(text)
+
+
+def test_a_word_is_remembered_whatever_stands_behind_it():
+    e = byte_tokens.Encoder(queries.BYTES)
+    made, tokenize = [], e.tokenize
+    e.tokenize = lambda x: made.append(x) or tokenize(x)
+    text = "ab ab ab. ab, ab!! ab; ab\n\nab ab: ab.\nab, ab ab. ab?"
+    assert e.encode(text) == e.whole(text)
+    assert made.count(e.space + "ab") == 2  # words that come once are not remembered
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
 def test_code_round_trip(ranks):
