@@ -58,7 +58,7 @@ class Encoder:
         # how a byte-level vocabulary writes bytes: as the printable characters of Latin-1, others from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = (b for b in range(256) if b not in printable)
-        self.written = {b: 256 + i for i, b in enumerate(others)}
+        self.written = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
         self.space = chr(self.written[32])
         self.words = _Memory(self.word)
         self.chunks = _Memory(self._chunk)
