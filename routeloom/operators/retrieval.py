@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,6 +134,46 @@ def _packed(side: DataFrame) -> tuple[DataFrame, Callable]:
     return side.withColumn("v", pack("v")), unpack
 
 
+def cuts(
+    of_queries: tuple[int, int],
+    of_corpus: tuple[int, int],
+    block_bytes: int,
+    cores: int,
+    query_block: int = 400_000,
+    corpus_block: int = 400_000,
+) -> tuple[int, int]:
+    """Numbers of blocks of both sides, whose rows and bytes are given."""
+    (rows_q, bytes_q), (rows_c, bytes_c) = of_queries, of_corpus
+    nq = max(1, -(-rows_q // query_block), -(-bytes_q // block_bytes))
+    nc = max(1, -(-rows_c // corpus_block), -(-bytes_c // block_bytes))
+    # cut further until all cores are busy, where that copies the fewest bytes
+    tasks = 2 * cores
+    ways = [(max(nq, cut), max(nc, -(-tasks // max(nq, cut)))) for cut in range(1, tasks + 1)]
+    nq, nc = min(ways, key=lambda way: bytes_q * way[1] + bytes_c * way[0])
+    return max(1, min(nq, rows_q)), max(1, min(nc, rows_c))
+
+
+def paired(queries: DataFrame, corpus: DataFrame, nq: int, nc: int, apart: bool = False) -> tuple[GroupedData, GroupedData]:
+    """Both sides by pair of blocks, to be cogrouped; a row is in the block of the hash of its id.
+
+    ``apart`` gives each pair of blocks a task of its own, as far as labels are found that hash to different ones.
+    """
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_q", block("qid", nq)).withColumn("_c", numbered(nc))
+    right = corpus.withColumn("_c", block("id", nc)).withColumn("_q", numbered(nq))
+    if not apart:
+        return left.groupBy("_q", "_c"), right.groupBy("_q", "_c")
+    n = nq * nc
+    # numbers by the task that Spark sends them to
+    tried = queries.sparkSession.range(20 * n + 100).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("task"))
+    labels = sorted(r.i for r in tried.groupBy("task").agg(F.min("i").alias("i")).collect())
+    labels += [max(labels) + 1 + i for i in range(n - len(labels))]
+    pair = F.array(*map(F.lit, labels))[F.col("_q") * nc + F.col("_c")].alias("_pair")
+    both = [side.select(pair, *(c for c in side.columns if c not in ("_q", "_c"))).repartition(n, "_pair") for side in (left, right)]
+    return both[0].groupBy("_pair"), both[1].groupBy("_pair")
+
+
 def top_k(
     queries: DataFrame,
     corpus: DataFrame,
@@ -156,20 +196,12 @@ def top_k(
         (queries, of_query), (corpus, of_corpus) = _packed(queries), _packed(corpus)
     queries, corpus = stored(queries), stored(corpus)
 
-    def blocks(side: DataFrame, size: int) -> tuple[int, int, int]:
-        row = side.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("v")), F.lit(0)).alias("bytes")).first()
-        return max(1, -(-row.n // size), -(-row.bytes // BLOCK_BYTES)), row.n, row.bytes
+    def measured(side: DataFrame) -> tuple[int, int]:
+        return tuple(side.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first())
 
-    (nq, rows_q, bytes_q), (nc, rows_c, bytes_c) = blocks(queries, query_block), blocks(corpus, corpus_block)
-    # cut further until all cores are busy, where that copies the fewest bytes
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    ways = [(max(nq, cut), max(nc, -(-tasks // max(nq, cut)))) for cut in range(1, tasks + 1)]
-    nq, nc = min(ways, key=lambda way: bytes_q * way[1] + bytes_c * way[0])
-    nq, nc = max(1, min(nq, rows_q)), max(1, min(nc, rows_c))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("_q", block("qid", nq)).withColumn("_c", numbered(nc))
-    right = corpus.withColumn("_c", block("id", nc)).withColumn("_q", numbered(nq))
+    size_q, size_c = measured(queries), measured(corpus)
+    nq, nc = cuts(size_q, size_c, BLOCK_BYTES, spark.sparkContext.defaultParallelism, query_block, corpus_block)
+    left, right = paired(queries, corpus, nq, nc)
     qid, cid = queries.schema["qid"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
 
     def score(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -177,11 +209,7 @@ def top_k(
             return pd.DataFrame({"qid": [], "id": [], "score": []})
         return _best(q, c, k, exclude_same, of_query, of_corpus)
 
-    found = (
-        left.groupBy("_q", "_c")
-        .cogroup(right.groupBy("_q", "_c"))
-        .applyInPandas(score, f"qid {qid}, id {cid}, score double")
-    )
+    found = left.cogroup(right).applyInPandas(score, f"qid {qid}, id {cid}, score double")
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, evaluate, retrieval, vector_index
+from ..operators import documents, evaluate, retrieval, term_search, vector_index
 from ..storage import stored
 from . import fixtures as fx
 from .registry import register
@@ -187,15 +187,12 @@ def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf: str, max_docs: int | None = None) -> DataFrame:
     numbered = F.concat("source", F.lit("#"), F.lpad(F.col("chunk_no").cast("string"), 9, "0"))
-    chunks = stored(chunk_documents(spark, sf).withColumn("id", numbered))
-    weights = documents.fit_vectorizer(chunks, dims=DIMS)
+    chunks = stored(chunk_documents(spark, sf).withColumn("id", numbered).withColumn("embedding", documents.packed_slots("text", DIMS)))
+    weights = documents.fit_packed(chunks, dims=DIMS)
     turns = fx.read(spark, sf, "conversations").where("role = 'user'").select(
         F.concat("conv_id", F.lit("/"), "turn").alias("qid"), "text"
     )
-    # the exact block products; term_index's bounds are too loose on these chunks to keep its candidate pairs small
-    found = retrieval.top_k(
-        documents.vectorize(turns, weights, packed=True).select("qid", "embedding"),
-        documents.vectorize(chunks, weights, packed=True).select("id", "embedding"),
-        unpack=documents.unpacked(weights),
-    )
+    turns = stored(turns.select("qid", documents.packed_slots("text", DIMS).alias("embedding")))
+    # every pair is bounded; term_index's bounds are too loose on these chunks to keep its candidate pairs small
+    found = term_search.top_k(turns, chunks, weights)
     return retrieval.shaped_documents(found, chunks, max_docs)
